@@ -79,6 +79,35 @@ VIEWS: dict[str, str] = {
           CAST(CASE l_linenumber % 4 WHEN 0 THEN 0 WHEN 1 THEN 230 WHEN 2 THEN 0 ELSE 222 END AS INT) AS b,
           CAST(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 255 END AS INT) AS a
         FROM {lineitem}""",
+    # First register: one name per row, codes, two kinds of coordinates.
+    "register": """
+        SELECT p_partkey + 1 AS native_id,
+          CASE p_partkey % 37 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat(' ', p_name, ' ') END AS ortnamn,
+          CASE p_partkey % 14 WHEN 0 THEN 'BEBTÄTTX' WHEN 1 THEN 'BEBTX' WHEN 2 THEN 'TERRTX' WHEN 3 THEN 'VATTTX' WHEN 4 THEN 'VATTDELTX' WHEN 5 THEN 'VATTDRTX' WHEN 6 THEN 'SANKTX' WHEN 7 THEN 'GLACIÄRTX' WHEN 8 THEN 'NATTX' WHEN 9 THEN 'KULTURTX' WHEN 10 THEN 'KYRKATX' WHEN 11 THEN 'ANLTX' WHEN 12 THEN 'TRAKTTX' ELSE 'OKÄNDTX' END AS detaljtyp,
+          CASE p_size % 9 WHEN 0 THEN 'SV' WHEN 1 THEN 'FI' WHEN 2 THEN 'TF' WHEN 3 THEN 'NS' WHEN 4 THEN 'LS' WHEN 5 THEN 'US' WHEN 6 THEN 'SS' WHEN 7 THEN 'XX' ELSE NULL END AS sprak,
+          concat('k', CAST(p_partkey % 27 AS VARCHAR(20))) AS kommunkod,
+          CASE p_size % 6 WHEN 0 THEN '01' WHEN 1 THEN '03' WHEN 2 THEN '19' WHEN 3 THEN '23' WHEN 4 THEN '25' ELSE '99' END AS lanskod,
+          CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 300000e0 + (p_partkey * 104729) % 600000 END AS geom_x,
+          CASE WHEN p_partkey % 5 IN (0, 1) THEN NULL ELSE 6200000e0 + (p_partkey * 7919) % 1400000 END AS geom_y,
+          300500e0 + (p_partkey * 104729) % 600000 AS ekoordinat, 6200500e0 + (p_partkey * 7919) % 1400000 AS nkoordinat
+        FROM {part}""",
+    # Second register: groups, grade, and the spellings of a place as rows.
+    "graded": """
+        SELECT p_partkey + 1 AS native_id,
+          CASE p_partkey % 9 WHEN 0 THEN 'bebyggelse' WHEN 1 THEN 'terreng' WHEN 2 THEN 'ferskvann' WHEN 3 THEN 'sjø' WHEN 4 THEN 'markslag' WHEN 5 THEN 'kultur' WHEN 6 THEN 'infrastruktur' WHEN 7 THEN 'offentligAdministrasjon' WHEN 8 THEN 'ukjent' ELSE NULL END AS main_group,
+          CASE p_size % 11 WHEN 0 THEN 'rennendeVann' WHEN 1 THEN 'våtmark' WHEN 2 THEN 'isOgPermafrost' WHEN 3 THEN 'verne-OgBruksområder' WHEN 4 THEN 'bartFjell' WHEN 5 THEN 'løsmasseavsetninger' WHEN 6 THEN 'annet' ELSE NULL END AS sub_group,
+          CASE p_partkey % 19 WHEN 17 THEN NULL WHEN 18 THEN 'vanlig' ELSE
+            concat('viktighet', substring('ABCDEFGHIJKLMabcz', CAST(1 + p_partkey % 19 AS INT), 1)) END AS sorting,
+          CASE p_size % 3 WHEN 0 THEN 'nordsamisk-norsk' WHEN 1 THEN 'norsk-kvensk' ELSE NULL END AS priority,
+          300000e0 + (p_partkey * 104729) % 600000 AS x, 6600000e0 + (p_partkey * 7919) % 1200000 AS y,
+          n_name AS adm, r_name AS region
+        FROM {part} JOIN {nation} ON n_nationkey = p_partkey % 25 JOIN {region} ON r_regionkey = n_regionkey""",
+    "spellings": """
+        SELECT p_partkey + 1 AS place_id, s.status, s.lang, s.spelling,
+          CASE s.k WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN concat(p_brand, ' ', p_name)
+            ELSE concat('old ', p_type) END AS written
+        FROM {part} CROSS JOIN (VALUES (0,'hovednavn','norsk','godkjent'),(1,'sidenavn','nordsamisk','vedtatt'),
+          (2,'undernavn','kvensk','uvurdert'),(3,'historisk','norsk','avslått')) AS s(k,status,lang,spelling)""",
 }
 
 _TABLE = re.compile(r"\{(\w+)\}")

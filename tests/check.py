@@ -60,7 +60,7 @@ if __name__ == "__main__":
 
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     wanted = sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracles = oracle_sql()
