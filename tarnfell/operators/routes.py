@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnfell.functions import fixed, geo
-from tarnfell.operators.ordered import previous_value  # noqa: F401  (hot-key form for longer tracks)
 
-_BY_SEQ = Window.partitionBy("route_id").orderBy("seq")
-_RUNNING = _BY_SEQ.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_WHOLE = Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _by_seq(*frame: int):
+    """Window over a route in vertex order, with an optional row frame."""
+    window = Window.partitionBy("route_id").orderBy("seq")
+    return window.rowsBetween(*frame) if frame else window
+
+
+_UP_TO = (Window.unboundedPreceding, Window.currentRow)
+_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
+_FROM = (Window.currentRow, Window.unboundedFollowing)
 # Guards against a last-digit difference dropping the sample at the very end.
 _EPS = 1e-9
 
@@ -29,10 +35,10 @@ def segments(points: DataFrame) -> DataFrame:
     """Each vertex with its predecessor, segment length and distance travelled."""
     lat, lon = F.col("lat_e5") / 1e5, F.col("lon_e5") / 1e5
     placed = points.select("route_id", "seq", lat.alias("lat"), lon.alias("lon"))
-    paired = placed.select("*", F.lag("lat").over(_BY_SEQ).alias("lat0"), F.lag("lon").over(_BY_SEQ).alias("lon0"))
+    paired = placed.select("*", F.lag("lat").over(_by_seq()).alias("lat0"), F.lag("lon").over(_by_seq()).alias("lon0"))
     metres = F.coalesce(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), F.lit(0.0))
     measured = paired.withColumn("segment", metres)
-    return measured.withColumn("travelled", F.sum("segment").over(_RUNNING))
+    return measured.withColumn("travelled", F.sum("segment").over(_by_seq(*_UP_TO)))
 
 
 def route_lengths(points: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def route_boxes(points: DataFrame) -> DataFrame:
 
 
 def _with_total(points: DataFrame) -> DataFrame:
-    return (segments(points).withColumn("total", F.max("travelled").over(_WHOLE))
+    return (segments(points).withColumn("total", F.max("travelled").over(_by_seq(*_ALL)))
             .withColumn("before", F.col("travelled") - F.col("segment")))
 
 
@@ -75,7 +81,7 @@ def resampled(points: DataFrame, spacing: float = fixed.SAMPLE_SPACING_M,
     legs = _with_total(points)
     step = F.greatest(F.lit(spacing), F.col("total") / (max_samples - 1))
     legs = (legs.withColumn("step", step)
-            .withColumn("is_first", F.col("lat0").isNull()).withColumn("is_last", F.lead("lat").over(_BY_SEQ).isNull()))
+            .withColumn("is_first", F.col("lat0").isNull()).withColumn("is_last", F.lead("lat").over(_by_seq()).isNull()))
     first = F.floor(F.col("before") / F.col("step") + _EPS) + 1
     last = F.least(F.floor(F.col("travelled") / F.col("step") + _EPS), F.lit(max_samples - 1).cast("long"))
     steps = F.when((F.col("segment") > 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
@@ -174,35 +180,30 @@ def minimum_spacing(points: DataFrame, spacing_e5: int) -> DataFrame:
     return routes.select("route_id", F.explode(kept).alias("p")).select("route_id", "p.*")
 
 
-def _simplify(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Ramer-Douglas-Peucker flags with the distance clamped to the segment."""
-    keep = np.zeros(len(x), dtype=bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(x) - 1)]
-    while spans:
-        lo, hi = spans.pop()
-        if hi - lo < 2:
-            continue
-        px, py = x[lo + 1:hi] - x[lo], y[lo + 1:hi] - y[lo]
-        dx, dy = x[hi] - x[lo], y[hi] - y[lo]
-        square = dx * dx + dy * dy
-        t = np.clip((px * dx + py * dy) / square, 0.0, 1.0) if square else np.zeros(len(px))
-        off = np.hypot(px - t * dx, py - t * dy)
-        worst = int(off.argmax())
-        if off[worst] > tolerance:
-            cut = lo + 1 + worst
-            keep[cut] = True
-            spans += [(lo, cut), (cut, hi)]
-    return keep
-
-
 def simplified(points: DataFrame, tolerance_e5: float) -> DataFrame:
-    """Simplified line per route; both ends stay."""
+    """Simplified line per route (Ramer-Douglas-Peucker, distance clamped to the segment); both ends stay."""
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        flags = _simplify(pdf["lon_e5"].to_numpy(float), pdf["lat_e5"].to_numpy(float), tolerance_e5)
-        return pdf[flags]
+        x, y = pdf["lon_e5"].to_numpy(float), pdf["lat_e5"].to_numpy(float)
+        keep = np.zeros(len(x), dtype=bool)
+        keep[[0, -1]] = True
+        spans = [(0, len(x) - 1)]
+        while spans:
+            lo, hi = spans.pop()
+            if hi - lo < 2:
+                continue
+            px, py = x[lo + 1:hi] - x[lo], y[lo + 1:hi] - y[lo]
+            dx, dy = x[hi] - x[lo], y[hi] - y[lo]
+            square = dx * dx + dy * dy
+            t = np.clip((px * dx + py * dy) / square, 0.0, 1.0) if square else np.zeros(len(px))
+            off = np.hypot(px - t * dx, py - t * dy)
+            worst = int(off.argmax())
+            if off[worst] > tolerance_e5:
+                cut = lo + 1 + worst
+                keep[cut] = True
+                spans += [(lo, cut), (cut, hi)]
+        return pdf[keep]
 
     columns = points.select("route_id", "seq", "lat_e5", "lon_e5")
     return columns.groupBy("route_id").applyInPandas(reduce, columns.schema)
@@ -223,11 +224,10 @@ def surviving_strokes(log: DataFrame) -> DataFrame:
             .filter(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear")))
             .filter((F.col("op") == "undo") | ((F.col("op") == "append") & (F.col("size") >= 2))))
     delta = F.when(F.col("op") == "append", 1).otherwise(-1)
-    walked = live.withColumn("_sum", F.sum(delta).over(_RUNNING))
-    floor = F.least(F.min("_sum").over(_RUNNING), F.lit(0))
+    walked = live.withColumn("_sum", F.sum(delta).over(_by_seq(*_UP_TO)))
+    floor = F.least(F.min("_sum").over(_by_seq(*_UP_TO)), F.lit(0))
     depth = walked.withColumn("_depth", F.col("_sum") - floor)
-    after = _BY_SEQ.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (depth.withColumn("_lowest", F.min("_depth").over(after))
+    return (depth.withColumn("_lowest", F.min("_depth").over(_by_seq(*_FROM)))
             .filter((F.col("op") == "append") & (F.col("_lowest") >= F.col("_depth")))
             .select("route_id", "seq", "size"))
 
