@@ -22,7 +22,7 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def timed(events: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def timed(events: DataFrame, chunk_seconds: int = 3_600) -> DataFrame:
     return events.withColumn("us", micros(F.col("ts"))).withColumn("_chunk", time_chunk(F.col("ts"), chunk_seconds)).drop("ts")
 
 

@@ -17,7 +17,7 @@ _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def time_chunk(ts: Column, seconds: int = 86_400) -> Column:
+def time_chunk(ts: Column, seconds: int = 3_600) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000)).cast("long")
 
 
