@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from tarnfell.functions import fixed, geo
 from tarnfell.operators.ordered import dense_ids, running_totals
 from tarnfell.operators.regions import projected_bbox
-from tarnfell.session import cut_lineage
+from tarnfell.session import cut_lineage, spread
 
 CELL = ["row", "col"]
 BLOCK = 256
@@ -36,7 +36,7 @@ def horn_slope(cells: DataFrame, resolution: float = fixed.GRID_RES, block: int
     def near(axis: str) -> Column:
         return F.explode(F.array_distinct(F.array(*[F.floor((F.col(axis) + d) / block).cast("long") for d in (-1, 0, 1)])))
 
-    spread = cells.select("row", "col", "height", near("row").alias("br")).select("*", near("col").alias("bc"))
+    haloed = cells.select("row", "col", "height", near("row").alias("br")).select("*", near("col").alias("bc"))
 
     def stencil(key, pdf: pd.DataFrame) -> pd.DataFrame:
         br, bc = key
@@ -53,7 +53,7 @@ def horn_slope(cells: DataFrame, resolution: float = fixed.GRID_RES, block: int
         out["slope"] = slope[r[own] - 1, c[own] - 1]
         return out
 
-    found = spread.groupBy("br", "bc").applyInPandas(stencil, "row long, col long, height double, slope double")
+    found = haloed.groupBy("br", "bc").applyInPandas(stencil, "row long, col long, height double, slope double")
     return found.select("row", "col", F.nanvl("height", F.lit(None)).alias("height"),
                         F.nanvl("slope", F.lit(None)).alias("slope"))
 
@@ -95,8 +95,7 @@ def tile_pixels(tiles: DataFrame, z: int, origin_x: float, origin_y: float,
     Pixel rows are spread first, so that few tiles still use all executors.
     """
     rows = tiles.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("px_row"))
-    spread = rows.repartition("x", "y", "px_row")
-    pixels = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("px_col"))
+    pixels = spread(rows, "x", "y", "px_row").select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("px_col"))
     lon, lat = geo.pixel_centre(F.lit(z), F.col("x"), F.col("y"), F.col("px_row"), F.col("px_col"), size)
     placed = pixels.withColumn("lon", lon).withColumn("lat", lat)
     east, north = geo.project(F.col("lon"), F.col("lat"))
@@ -143,9 +142,9 @@ def area_average(cells: DataFrame, source_res: int = 8, target_res: int = 10) ->
             d.alias("i"), (F.least(hi, (d + 1) * target_res) - F.greatest(lo, d * target_res)).alias("w"))))
 
     known = cells.filter("height IS NOT NULL")
-    spread = known.select("height", overlaps("row").alias("r"), "col").select("height", "r", overlaps("col").alias("c"))
+    shared = known.select("height", overlaps("row").alias("r"), "col").select("height", "r", overlaps("col").alias("c"))
     weight = F.col("r.w") * F.col("c.w")
-    return spread.groupBy(F.col("r.i").alias("row"), F.col("c.i").alias("col")).agg(
+    return shared.groupBy(F.col("r.i").alias("row"), F.col("c.i").alias("col")).agg(
         (F.sum(weight * F.col("height")) / F.sum(weight)).alias("height"))
 
 

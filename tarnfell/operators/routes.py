@@ -181,32 +181,39 @@ def minimum_spacing(points: DataFrame, spacing_e5: int) -> DataFrame:
 
 
 def simplified(points: DataFrame, tolerance_e5: float) -> DataFrame:
-    """Simplified line per route (Ramer-Douglas-Peucker, distance clamped to the segment); both ends stay."""
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x, y = pdf["lon_e5"].to_numpy(float), pdf["lat_e5"].to_numpy(float)
-        keep = np.zeros(len(x), dtype=bool)
-        keep[[0, -1]] = True
-        spans = [(0, len(x) - 1)]
-        while spans:
-            lo, hi = spans.pop()
-            if hi - lo < 2:
-                continue
-            px, py = x[lo + 1:hi] - x[lo], y[lo + 1:hi] - y[lo]
-            dx, dy = x[hi] - x[lo], y[hi] - y[lo]
-            square = dx * dx + dy * dy
-            t = np.clip((px * dx + py * dy) / square, 0.0, 1.0) if square else np.zeros(len(px))
-            off = np.hypot(px - t * dx, py - t * dy)
-            worst = int(off.argmax())
-            if off[worst] > tolerance_e5:
-                cut = lo + 1 + worst
-                keep[cut] = True
-                spans += [(lo, cut), (cut, hi)]
-        return pdf[keep]
-
-    columns = points.select("route_id", "seq", "lat_e5", "lon_e5")
-    return columns.groupBy("route_id").applyInPandas(reduce, columns.schema)
+    """Simplified line per route (Ramer-Douglas-Peucker, distance clamped to the segment); both ends stay.
+
+    Routes travel to Python as arrays, many in one Arrow batch.
+    """
+
+    @F.pandas_udf("array<int>")
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def one(x: np.ndarray, y: np.ndarray) -> list[int]:
+            keep = {0, len(x) - 1}
+            spans = [(0, len(x) - 1)]
+            while spans:
+                lo, hi = spans.pop()
+                if hi - lo < 2:
+                    continue
+                px, py = x[lo + 1:hi] - x[lo], y[lo + 1:hi] - y[lo]
+                dx, dy = x[hi] - x[lo], y[hi] - y[lo]
+                square = dx * dx + dy * dy
+                t = np.clip((px * dx + py * dy) / square, 0.0, 1.0) if square else np.zeros(len(px))
+                off = np.hypot(px - t * dx, py - t * dy)
+                worst = int(off.argmax())
+                if off[worst] > tolerance_e5:
+                    cut = lo + 1 + worst
+                    keep.add(cut)
+                    spans += [(lo, cut), (cut, hi)]
+            return sorted(keep)
+
+        return pd.Series([one(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)])
+
+    vertex = F.struct("seq", "lat_e5", "lon_e5")
+    routes = points.groupBy("route_id").agg(F.sort_array(F.collect_list(vertex)).alias("v"))
+    flagged = routes.withColumn("kept", kept(F.col("v.lon_e5"), F.col("v.lat_e5")))
+    chosen = F.transform("kept", lambda i: F.col("v")[i])
+    return flagged.select("route_id", F.explode(chosen).alias("p")).select("route_id", "p.*")
 
 
 # --------------------------------------------------------------- edit log

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfell.functions import fixed, geo
+from tarnfell.session import spread
 
 TILE = ["server", "z", "x", "y"]
 
@@ -26,13 +27,15 @@ def coordinate_scan(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
     return tiles.join(wanted.select("z", "x", "y"), ["z", "x", "y"], "left_semi")
 
 
-_SLASHED = r"^\s*z?(\d+)[/:]y?(\d+)[/:]x?(\d+)\s*$"
+_KEY_TEXT = r"^\s*z?(\d+)[/:]y?(\d+)[/:]x?(\d+)\s*$"
 
 
 def parsed_keys(keys: DataFrame, column: str) -> DataFrame:
     """``z, x, y`` of key texts (z, then row, then column); ``ok`` is false on malformed text."""
-    parts = [F.regexp_extract(column, _SLASHED, i).try_cast("int") for i in (1, 3, 2)]
-    parsed = keys.select("*", *[p.alias(n) for p, n in zip(parts, ("z", "x", "y"))])
+    parts = F.split(F.regexp_replace(column, _KEY_TEXT, "$1,$2,$3"), ",")
+    numbers = F.when(F.size(parts) == 3, F.transform(parts, lambda p: p.try_cast("int")))
+    parsed = keys.withColumn("_n", numbers).select(
+        "*", F.col("_n")[0].alias("z"), F.col("_n")[2].alias("x"), F.col("_n")[1].alias("y")).drop("_n")
     return parsed.withColumn("ok", F.col("z").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
@@ -76,8 +79,7 @@ def region_jobs(regions: DataFrame, keys: list[str], layers: DataFrame) -> DataF
     covered = region_tile_ranges(regions, keys).join(
         layers, F.col("z").between(F.col("offline_min_z"), F.col("offline_max_z")))
     columns = covered.select(*keys, "server", "z", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1")
-    spread = columns.repartition(*keys, "server", "z", "x")
-    return spread.select(*keys, "server", "z", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    return spread(columns, *keys, "server", "z", "x").select(*keys, "server", "z", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
 
 
 def job_order(jobs: DataFrame) -> DataFrame:

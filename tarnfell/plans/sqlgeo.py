@@ -87,10 +87,19 @@ def geodesic_cte(name: str, src: str, lat1: str, lon1: str, lat2: str, lon2: str
     ctes.append(f"{name}_k AS (SELECT *, gc2a * {aa} AS gk FROM {two})")
     ctes.append(f"""{name}_m AS (SELECT *, 1e0 + gk / 16384e0 * (4096e0 + gk * (-768e0 + gk * (320e0 - 175e0 * gk))) AS gba,
         gk / 1024e0 * (256e0 + gk * (-128e0 + gk * (74e0 - 47e0 * gk))) AS gbb FROM {name}_k)""")
-    ctes.append(f"""{name} AS (SELECT * EXCLUDE ({scratch}, gu1, gu2, gl, gsame, gk, gba, gbb),
-        CASE WHEN gsame THEN 0e0 ELSE {num(b)} * gba * (gsig - gbb * gss * (gc2m + gbb / 4e0 * (
+    e2 = num((a * a - b * b) / (b * b))
+    c, dphi = f"cos(radians({lat1}))", f"radians({lat2} - {lat1})"
+    ctes.append(f"""{name}_n AS (SELECT *, 1e0 + {e2} * {c} * {c} AS hb2, sqrt(1e0 + {e2} * {c} * {c}) AS hb,
+        sqrt(1e0 + {e2} * {c} * {c} * {c} * {c}) AS ha FROM {name}_m)""")
+    ctes.append(f"""{name}_o AS (SELECT *, ha * gl / 2e0 AS hw, {dphi} / (2e0 * hb) * (1e0 + 3e0 * {e2} / (4e0 * hb2) * {dphi}
+        * sin(2e0 * radians({lat1}) + {dphi} * ({num(2 / 3)}))) AS hd FROM {name}_n)""")
+    near = f"""{num(a * math.sqrt(1 + (a * a - b * b) / (b * b)))} / hb2 * 2e0 * asin(sqrt(pow(sin(hd) * cos(hw), 2)
+        + pow(sin(hw) * (hb * {c} * cos(hd) - sin(radians({lat1})) * sin(hd)) / ha, 2)))"""
+    ctes.append(f"""{name} AS (SELECT * EXCLUDE ({scratch}, gu1, gu2, gl, gsame, gk, gba, gbb, hb2, hb, ha, hw, hd),
+        CASE WHEN gsame THEN 0e0 WHEN abs({lat2} - {lat1}) <= {geo.SHORT_LAT} AND abs({lon2} - {lon1}) <= {geo.SHORT_LON} THEN {near}
+        ELSE {num(b)} * gba * (gsig - gbb * gss * (gc2m + gbb / 4e0 * (
           gcs * (2e0 * gc2m * gc2m - 1e0) - gbb / 6e0 * gc2m * (4e0 * gss * gss - 3e0) * (4e0 * gc2m * gc2m - 3e0)))) END
-        AS metres FROM {name}_m)""")
+        AS metres FROM {name}_o)""")
     return ", ".join(ctes)
 
 

@@ -61,3 +61,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise reliably, so that loops neither recompute nor lose rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitioning by ``columns`` before rows are multiplied.
+
+    The number is given outright: adaptive execution would merge these few
+    small rows into one partition and leave one task to multiply all of them.
+    """
+    spark = df.sparkSession
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(number, *columns)
