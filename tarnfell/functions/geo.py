@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfell.functions import fixed
@@ -121,6 +121,25 @@ def project(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE_EASTING + K0 * RECTIFYING * east, K0 * RECTIFYING * north
 
 
+def with_projection(df: DataFrame, lon: Column, lat: Column, easting: str, northing: str) -> DataFrame:
+    """``project`` in stages, for large tables.
+
+    Each intermediate is a column of its own, evaluated once per row; as one
+    expression the series would repeat them in a method too long to compile.
+    """
+    t = F.sinh(F.atanh(F.col("_sl")) - CONFORMAL * F.atanh(CONFORMAL * F.col("_sl")))
+    staged = (df.withColumns({"_sl": F.sin(F.radians(lat)), "_dl": F.radians(lon - CENTRAL_MERIDIAN)})
+              .withColumn("_t", t)
+              .withColumns({"_xi": F.atan2(F.col("_t"), F.cos("_dl")),
+                            "_eta": F.atanh(F.sin("_dl") / F.sqrt(1.0 + F.col("_t") * F.col("_t")))}))
+    east, north = F.col("_eta"), F.col("_xi")
+    for j, a in enumerate(ALPHA, start=1):
+        east = east + a * F.cos(2.0 * j * F.col("_xi")) * F.sinh(2.0 * j * F.col("_eta"))
+        north = north + a * F.sin(2.0 * j * F.col("_xi")) * F.cosh(2.0 * j * F.col("_eta"))
+    return staged.withColumns({easting: FALSE_EASTING + K0 * RECTIFYING * east, northing: K0 * RECTIFYING * north}).drop(
+        "_sl", "_dl", "_t", "_xi", "_eta")
+
+
 def unproject(easting: Column, northing: Column) -> tuple[Column, Column]:
     """Easting/northing of the 33-zone metric grid to WGS84 lon/lat.
 

@@ -97,15 +97,23 @@ def tile_pixels(tiles: DataFrame, z: int, origin_x: float, origin_y: float,
     rows = tiles.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("px_row"))
     pixels = spread(rows, "x", "y", "px_row").select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("px_col"))
     lon, lat = geo.pixel_centre(F.lit(z), F.col("x"), F.col("y"), F.col("px_row"), F.col("px_col"), size)
-    placed = pixels.withColumn("lon", lon).withColumn("lat", lat)
-    east, north = geo.project(F.col("lon"), F.col("lat"))
-    return placed.select("x", "y", "px_row", "px_col", ((east - origin_x) / res).alias("gx"),
-                         ((F.lit(origin_y) - north) / res).alias("gy"))
+    placed = geo.with_projection(pixels, lon, lat, "easting", "northing")
+    return placed.select("x", "y", "px_row", "px_col", ((F.col("easting") - origin_x) / res).alias("gx"),
+                         ((F.lit(origin_y) - F.col("northing")) / res).alias("gy"))
+
+
+def _cell_key(position: Column) -> Column:
+    """Cell index as a join key that is never null.
+
+    A nullable key would be tested for null before the join, and that test is
+    pushed below the staged projection with the whole series written out again.
+    """
+    return F.coalesce(F.floor(position), F.lit(-(1 << 62)))
 
 
 def nearest_warp(pixels: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     """The value of the cell under each pixel centre; pixels off the raster are left out."""
-    keyed = pixels.select("x", "y", "px_row", "px_col", F.floor("gy").alias("row"), F.floor("gx").alias("col"))
+    keyed = pixels.select("x", "y", "px_row", "px_col", _cell_key(F.col("gy")).alias("row"), _cell_key(F.col("gx")).alias("col"))
     return keyed.join(cells.select("row", "col", value), CELL).drop(*CELL)
 
 
@@ -121,7 +129,7 @@ def bilinear_warp(pixels: DataFrame, cells: DataFrame) -> DataFrame:
     quads = cells.filter("height IS NOT NULL").select("height", corners).groupBy("q.r0", "q.c0").agg(
         *[F.max(F.when(F.col("q.corner") == i, F.col("height"))).alias(f"h{i}") for i in range(4)])
     fx, fy = F.col("gx") - 0.5, F.col("gy") - 0.5
-    keyed = pixels.select("x", "y", "px_row", "px_col", F.floor(fy).alias("r0"), F.floor(fx).alias("c0"),
+    keyed = pixels.select("x", "y", "px_row", "px_col", _cell_key(fy).alias("r0"), _cell_key(fx).alias("c0"),
                           (fx - F.floor(fx)).alias("u"), (fy - F.floor(fy)).alias("v"))
     weights = [(1 - F.col("u")) * (1 - F.col("v")), F.col("u") * (1 - F.col("v")),
                (1 - F.col("u")) * F.col("v"), F.col("u") * F.col("v")]
