@@ -38,7 +38,7 @@ def horn_slope(cells: DataFrame, resolution: float = fixed.GRID_RES, block: int
 
     haloed = cells.select("row", "col", "height", near("row").alias("br")).select("*", near("col").alias("bc"))
 
-    def stencil(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def stencil(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         br, bc = key
         z = np.full((block + 2, block + 2), np.nan)
         r = pdf["row"].to_numpy() - br * block + 1
