@@ -126,7 +126,7 @@ def ranked_names(spellings: Column, priority: Column) -> Column:
     current = F.filter(
         F.transform(spellings, ranked),
         lambda r: r["a"].isNotNull() & r["c"].isNotNull() & r["written"].isNotNull() & (r["written"] != ""))
-    ordered = F.array_sort(current)
+    ordered = F.sort_array(current)
 
     def is_first(r, i):
         return ~F.exists(F.slice(ordered, 1, i), lambda q: casefold(q["written"]) == casefold(r["written"]))
@@ -163,7 +163,7 @@ def alias_rows(places: DataFrame, width: int = 1 << 16) -> DataFrame:
     named = offset.filter("_extra > 0").select(
         "place_id", (F.col("_seen") - F.col("_extra")).alias("_before"), F.posexplode("names").alias("position", "n"))
     return named.filter("position > 0").select(
-        (F.col("_before") + F.col("position") + fixed.ALIAS_OFFSET).alias("alias_id"), "place_id",
+        (F.col("_before") + F.col("position") + fixed.ALIAS_OFFSET).alias("alias_id"), "place_id", "position",
         F.col("n.written").alias("name"), F.col("n.lang").alias("lang"))
 
 

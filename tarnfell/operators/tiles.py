@@ -76,8 +76,8 @@ def region_jobs(regions: DataFrame, keys: list[str], layers: DataFrame) -> DataF
     Columns of tiles are spread over the cluster before their rows are listed,
     so a region of continental size is not enumerated by one task.
     """
-    covered = region_tile_ranges(regions, keys).join(
-        layers, F.col("z").between(F.col("offline_min_z"), F.col("offline_max_z")))
+    zooms = layers.select("server", F.explode(F.sequence("offline_min_z", "offline_max_z")).alias("z"))
+    covered = region_tile_ranges(regions, keys).join(zooms, "z")
     columns = covered.select(*keys, "server", "z", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1")
     return spread(columns, *keys, "server", "z", "x").select(*keys, "server", "z", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
 

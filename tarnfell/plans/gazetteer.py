@@ -160,10 +160,7 @@ def a13(spark, sf):
     named = spelled_places(spark, sf)
     shown = named.select("place_id", F.lit(0).alias("position"), F.col("names")[0]["written"].alias("name"),
                          F.col("names")[0]["lang"].alias("lang"), F.lit(None).cast("long").alias("alias_id"))
-    aliases = ops.alias_rows(named)
-    positions = named.select("place_id", F.posexplode("names").alias("position", "n")).select(
-        "place_id", "position", F.col("n.written").alias("name"))
-    return shown.unionByName(aliases.join(positions, ["place_id", "name"]).select(*shown.columns))
+    return shown.unionByName(ops.alias_rows(named).select(*shown.columns))
 
 
 @query("U1_combined_registers", cte("register", "graded") + """SELECT country, native_id,
