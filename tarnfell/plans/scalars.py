@@ -10,7 +10,16 @@ from tarnfell.plans import sqlgeo
 from tarnfell.plans.registry import query
 from tarnfell.sources.views import cte, view
 
-LAT, LON = F.col("lat_e5") / 1e5, F.col("lon_e5") / 1e5
+
+
+def _lat():
+    return F.col("lat_e5") / 1e5
+
+
+def _lon():
+    return F.col("lon_e5") / 1e5
+
+
 SQL_LAT, SQL_LON = "(lat_e5 / 1e5)", "(lon_e5 / 1e5)"
 SQL_REGIONS = """regions AS (SELECT adm, kind, min(lat_e5) AS lat0, max(lat_e5) AS lat1, min(lon_e5) AS lon0,
     max(lon_e5) AS lon1 FROM fx_places GROUP BY adm, kind)"""
@@ -20,7 +29,7 @@ SQL_REGIONS = """regions AS (SELECT adm, kind, min(lat_e5) AS lat0, max(lat_e5)
   {sqlgeo.tile_y(SQL_LAT, 'z')} AS y FROM (SELECT *, CAST(7 + seq % 8 AS INT) AS z FROM fx_points)""")
 def g1(spark, sf):
     z = (7 + F.col("seq") % 8).cast("int")
-    x, y = geo.tile_xy(LON, LAT, z)
+    x, y = geo.tile_xy(_lon(), _lat(), z)
     return view(spark, sf, "points").select("seq", z.alias("z"), x.alias("x"), y.alias("y"))
 
 
@@ -45,7 +54,7 @@ def g2(spark, sf):
     ({SQL_LON} + 180e0) / 360e0 * 1048576e0 AS wx,
     (1e0 - ln(tan(radians({SQL_LAT})) + 1e0 / cos(radians({SQL_LAT}))) / pi()) / 2e0 * 1048576e0 AS wy FROM fx_points)""")
 def g3(spark, sf):
-    return view(spark, sf, "points").select("seq", *[c.alias(k) for k, c in geo.tile_pixel(LON, LAT, 12).items()])
+    return view(spark, sf, "points").select("seq", *[c.alias(k) for k, c in geo.tile_pixel(_lon(), _lat(), 12).items()])
 
 
 @query("G4_projection", cte("places") + ", deg AS (SELECT place_id, lon_e5 / 1e5 AS lon0, lat_e5 / 1e5 AS lat0 FROM fx_places), "
@@ -53,7 +62,7 @@ def g3(spark, sf):
        """ SELECT place_id, round(easting, 2) AS easting, round(northing, 2) AS northing, round(lon, 6) AS lon,
        round(lat, 6) AS lat FROM back""")
 def g4(spark, sf):
-    east, north = geo.project(LON, LAT)
+    east, north = geo.project(_lon(), _lat())
     flat = view(spark, sf, "places").select("place_id", east.alias("easting"), north.alias("northing"))
     lon, lat = geo.unproject(F.col("easting"), F.col("northing"))
     return flat.select("place_id", F.round("easting", 2).alias("easting"), F.round("northing", 2).alias("northing"),
@@ -78,7 +87,7 @@ def g5(spark, sf):
     6523456 / 1e5 AS a2, 1812345 / 1e5 AS o2 FROM fx_points), """ + sqlgeo.geodesic_cte("dist", "legs", "a1", "o1", "a2", "o2") +
        " SELECT seq, round(metres, 2) AS metres FROM dist")
 def g6(spark, sf):
-    metres = geo.geodesic_m(LAT, LON, F.lit(6523456) / 1e5, F.lit(1812345) / 1e5)
+    metres = geo.geodesic_m(_lat(), _lon(), F.lit(6523456) / 1e5, F.lit(1812345) / 1e5)
     return view(spark, sf, "points").select("seq", F.round(metres, 2).alias("metres"))
 
 
@@ -103,7 +112,7 @@ def g9(spark, sf):
     places = view(spark, sf, "places").selectExpr("*", "(place_id % 400) / 100e0 AS span", "320e0 + kind * 40 AS w")
     span, width = F.col("span"), F.col("w")
     return places.select("place_id", F.round(geo.zoom_level(span, width), 6).alias("zoom"),
-                         F.round(geo.metres_per_point(LAT, span, width), 4).alias("metres_per_point"))
+                         F.round(geo.metres_per_point(_lat(), span, width), 4).alias("metres_per_point"))
 
 
 def _sql_spacing(m):
@@ -132,7 +141,7 @@ def g10(spark, sf):
     ln(tan(radians(lat + d / 2)) + 1 / cos(radians(lat + d / 2))) / pi() * {sqlgeo.SPAN} AS y1
     FROM (SELECT place_id, lat_e5 / 1e5 AS lat, lon_e5 / 1e5 AS lon, (1 + kind) / 20e0 AS d FROM fx_places))""")
 def g11(spark, sf):
-    centred = view(spark, sf, "places").select("place_id", LAT.alias("lat"), LON.alias("lon"),
+    centred = view(spark, sf, "places").select("place_id", _lat().alias("lat"), _lon().alias("lon"),
                                                ((1 + F.col("kind")) / 20.0).alias("span"))
     return region_ops.centred_regions(centred)
 
