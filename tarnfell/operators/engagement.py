@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnfell.functions import fixed
 from tarnfell.operators.ordered import next_value, previous_value, running_totals, time_chunk
+from tarnfell.operators.skew import join_groups, sized
 from tarnfell.session import cut_lineage
 
 ORDER = ["us", "event_id"]
@@ -47,12 +48,12 @@ def app_opens(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS) -> D
     """
     cycle = timed(events).filter(F.col("kind").isin("active", "background"))
     at = F.struct("us", "event_id")
-    firsts = cycle.groupBy("user_id").agg(F.min(F.when(F.col("kind") == "active", at)).alias("first"))
-    before = (cycle.join(firsts, "user_id").filter((F.col("kind") == "background") & (at < F.col("first")))
-              .groupBy("user_id").agg(F.max("us").alias("early")))
-    marks = firsts.join(before, "user_id", "left")
-    prior = previous_value(cycle, ["user_id"], "_chunk", ORDER,
-                           F.struct("kind", "us", "event_id"), "prev").filter("kind = 'active'").join(marks, "user_id")
+    firsts = sized(cycle, ["user_id"], "_n", F.min(F.when(F.col("kind") == "active", at)).alias("first"))
+    backgrounds = join_groups(cycle, firsts, ["user_id"], "_n").filter((F.col("kind") == "background") & (at < F.col("first")))
+    early = backgrounds.groupBy("user_id").agg(F.max("us").alias("early"))
+    marks = firsts.join(early, "user_id", "left")
+    prior = previous_value(cycle, ["user_id"], "_chunk", ORDER, F.struct("kind", "us", "event_id"), "prev")
+    prior = join_groups(prior.filter("kind = 'active'"), marks, ["user_id"], "_n")
     is_first = at == F.col("first")
     after_first = F.struct("prev.us", "prev.event_id") == F.col("first")
     since = F.when(F.col("prev.kind") == "background", F.col("prev.us")).when(after_first, F.col("early"))
@@ -91,16 +92,16 @@ def prompts(moments: DataFrame, gap_days: float = fixed.PROMPT_GAP_DAYS) -> Data
     number = 0
     while not left.isEmpty():
         number += 1
-        first = cut_lineage(left.groupBy("user_id").agg(F.min(moment).alias("m")).select(
-            "user_id", F.col("m.us").alias("_us"), F.col("m.event_id").alias("_id"), F.col("m.app_version").alias("_version")))
+        first = cut_lineage(sized(left, ["user_id"], "_n", F.min(moment).alias("m")).select(
+            "user_id", "_n", F.col("m.us").alias("_us"), F.col("m.event_id").alias("_id"), F.col("m.app_version").alias("_version")))
         found = first.select("user_id", F.col("_id").alias("event_id"), F.col("_us").alias("us"),
                              F.col("_version").alias("app_version"), F.lit(number).alias("number"))
         shown = found if shown is None else shown.unionByName(found)
         # Rows ruled out now stay ruled out only while this prompt is the last one: a version
         # that was skipped can come back after another prompt, so only time drops rows here.
-        later = left.join(first, "user_id").filter(F.col("us") >= F.col("_us") + gap)
+        later = join_groups(left, first, ["user_id"], "_n").filter(F.col("us") >= F.col("_us") + gap)
         same = F.col("app_version") == F.col("_version")
-        upcoming = later.filter(~same).groupBy("user_id").agg(F.min(F.struct("us", "event_id")).alias("_from"))
-        left = cut_lineage(later.join(upcoming, "user_id").filter(F.struct("us", "event_id") >= F.col("_from"))
+        upcoming = sized(later, ["user_id"], "_n", F.min(F.when(~same, F.struct("us", "event_id"))).alias("_from"))
+        left = cut_lineage(join_groups(later, upcoming, ["user_id"], "_n").filter(F.struct("us", "event_id") >= F.col("_from"))
                            .select("user_id", "us", "event_id", "app_version"))
     return shown if shown is not None else left.withColumn("number", F.lit(0))

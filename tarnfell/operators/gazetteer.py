@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnfell.functions import fixed, geo
 from tarnfell.operators.components import min_labels
 from tarnfell.operators.ordered import dense_ids, running_totals
+from tarnfell.operators.skew import join_groups, sized
 
 KIND_ID = {name: i for i, name in enumerate(fixed.KINDS)}
 
@@ -232,19 +233,24 @@ def proximity_links(places: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     decide. The outline is bounded by the cell's rows and columns whatever the
     number of places, so no group of copies is ever paired with itself.
     """
-    if radius_m < 950.0:
-        raise ValueError("the grid guarantees links inside a cell only from 950 m up")
-    celled = with_grid_cell(places.select("place_id", "name", "lat_e5", "lon_e5"))
-    anchors = celled.groupBy(*_CELL).agg(F.min("place_id").alias("anchor"))
-    members = (celled.join(anchors, _CELL).filter("place_id <> anchor")
+    celled, anchors = _cells(places, radius_m)
+    members = (join_groups(celled, anchors.filter("n > 1"), _CELL, "n").filter("place_id <> anchor")
                .select(F.lit("member").alias("link"), F.col("anchor").alias("left_id"),
                        F.col("place_id").alias("right_id")))
-    return members.unionByName(_cell_links(celled, anchors, radius_m))
+    return members.unionByName(_cell_links(celled, anchors.drop("n"), radius_m))
 
 
 _CELL = ["name", "band", "cell"]
 
 
+def _cells(places: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Places with their cell, and each cell with its smallest id and its size."""
+    if radius_m < 950.0:
+        raise ValueError("the grid guarantees links inside a cell only from 950 m up")
+    celled = with_grid_cell(places.select("place_id", "name", "lat_e5", "lon_e5"))
+    return celled, sized(celled, _CELL, "n", F.min("place_id").alias("anchor"))
+
+
 def _outline(celled: DataFrame) -> DataFrame:
     """Outermost distinct positions of each cell: row ends and column ends."""
     rows = celled.groupBy(*_CELL, "lat_e5").agg(F.min("lon_e5").alias("a"), F.max("lon_e5").alias("b"))
@@ -297,9 +303,16 @@ def _cell_links(celled: DataFrame, anchors: DataFrame, radius_m: float) -> DataF
 
 
 def clusters(places: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
-    """``place_id, cluster``: smallest id of the chain of same-name neighbours."""
-    links = proximity_links(places, radius_m).select("left_id", "right_id")
-    return min_labels(links).select(F.col("node").alias("place_id"), F.col("label").alias("cluster"))
+    """``place_id, cluster``: smallest id of the chain of same-name neighbours.
+
+    Chains are followed between cells only; the places of a cell take its label.
+    """
+    celled, anchors = _cells(places, radius_m)
+    links = _cell_links(celled, anchors.drop("n"), radius_m).select("left_id", "right_id")
+    labels = min_labels(links).select(F.col("node").alias("anchor"), "label")
+    linked = anchors.join(labels, "anchor", "left").filter("n > 1 OR label IS NOT NULL")
+    labelled = linked.select(*_CELL, "n", F.coalesce("label", "anchor").alias("cluster"))
+    return join_groups(celled, labelled, _CELL, "n").select("place_id", "cluster")
 
 
 def doomed_places(places: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,9 +321,10 @@ def doomed_places(places: DataFrame, labels: DataFrame) -> DataFrame:
     The best is found by a grouping with partial aggregation, not a window.
     """
     clustered = labels.join(places.select("place_id", "rank", "kind"), "place_id")
-    best = clustered.groupBy("cluster").agg(F.min(F.struct("rank", "kind", "place_id")).alias("best"))
-    return (clustered.join(best, "cluster").filter(F.col("place_id") != F.col("best.place_id"))
-            .select("place_id", "cluster", F.col("best.place_id").alias("kept_id")))
+    best = sized(clustered, ["cluster"], "n", F.min(F.struct("rank", "kind", "place_id")).alias("best"))
+    kept = best.select("cluster", "n", F.col("best.place_id").alias("kept_id"))
+    return (join_groups(clustered, kept, ["cluster"], "n").filter("place_id <> kept_id")
+            .select("place_id", "cluster", "kept_id"))
 
 
 def without(rows: DataFrame, doomed: DataFrame, key: str = "place_id") -> DataFrame:

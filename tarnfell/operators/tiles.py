@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfell.functions import fixed, geo
+from tarnfell.operators.skew import join_groups, sized
 from tarnfell.session import spread
 
 TILE = ["server", "z", "x", "y"]
@@ -152,12 +153,12 @@ def tiered_lookup(requests: DataFrame, store: DataFrame, cache: DataFrame, layer
     ``requests(request_id, server, z, x, y, outcome)``: outcome is the network
     answer the request would get. Tiers are resolved per distinct tile.
     """
-    tiles = requests.select(*TILE).distinct()
+    tiles = sized(requests, TILE, "n")
     held = store.select(*TILE).distinct().withColumn("in_store", F.lit(True))
     cached = cache.select(*TILE).distinct().withColumn("in_cache", F.lit(True))
     ancestors = nearest_ancestors(tiles, store)
     known = tiles.join(held, TILE, "left").join(cached, TILE, "left").join(ancestors, TILE, "left")
-    full = requests.join(known, TILE).join(layers.select("server", "offline_max_z"), "server")
+    full = join_groups(requests, known, TILE, "n").join(layers.select("server", "offline_max_z"), "server")
     rescued = (F.col("outcome") != "network") & (F.col("z") > F.col("offline_max_z")) & F.col("anc_z").isNotNull()
     source = (F.when(F.col("in_store"), "offlineStore").when(F.col("in_cache"), "urlCache")
               .when(rescued, "upscaledAncestor").otherwise(F.col("outcome")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnfell.functions import geo
-from tarnfell.operators import components, engagement, gazetteer, ordered, raster, routes
+from tarnfell.operators import components, engagement, gazetteer, ordered, raster, routes, skew
 from tarnfell.session import scratch_path
 from tarnfell.streaming import metrics, sinks, stateful
 
@@ -226,3 +226,11 @@ def test_windows_drop_late_rows(spark):
     schema_out = run([("2024-01-01 10:06:00", 0, "network"), ("2024-01-01 15:00:00", 0, "network")])
     rows = sinks.emitted(spark, f"{base}/out", schema_out).orderBy("start_us").collect()
     assert [r["n"] for r in rows] == [1, 1]
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_join_groups_equals_plain_join(spark, hot_rows):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    groups = skew.sized(rows, ["k"], "n", F.max("id").alias("m"))
+    found = skew.join_groups(rows, groups, ["k"], "n", hot_rows)
+    assert found.count() == 3000 and found.exceptAll(rows.join(groups, "k").select(*found.columns)).isEmpty()
