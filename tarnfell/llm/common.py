@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Steps after which rows may come in another order or number when they are read again.
+_UNSTEADY = re.compile(r"Exchange|AdaptiveSparkPlan|ExistingRDD|InMemory|Python|Pandas|Arrow|MapIn|Sample|Generate|Limit|Union|Join")
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``_row``, a number of the row that stays the same however often the result is read.
+
+    Rows of files are numbered as they are read. Anything that may deal rows out
+    anew (a shuffle, a join, Python) is written to the shared folder first.
+    """
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        df.explain()
+    df = stored(df, label) if _UNSTEADY.search(re.sub(r"\[[^\]]*\]|Location:.*", "", said.getvalue())) else df
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
 def text_of(column: str) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import decontamination, lines, mixing, quality, simhash
+from tarnfell.llm import decontamination, fingerprints, licences, lines, mixing, pages, personal, quality, repeats, simhash
 from tarnfell.plans.registry import Plan
 from tarnfell.session import pin_utc
 from tarnfell.sources.tables import table
@@ -20,6 +20,11 @@ def _hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(pins(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents, weighted by source, takes of each document."""
     strings = table(spark, sf_dir, "documents").select(
@@ -27,12 +32,41 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(strings).select(F.col("key").alias("doc_id"), "size", F.col("locale_size").alias("source_size"), "target", "taken")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = personal.personal_data(pins(table(spark, sf_dir, "documents")))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE))
+    return found.select(F.col("id").alias("doc_id"), *counts, _hex(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 200 bytes that occur more than once."""
+    kept = repeats.without_repeats(pins(table(spark, sf_dir, "documents")))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that occur before, exactly or nearly."""
     kept = lines.deduplicated_lines(pins(table(spark, sf_dir, "documents")))
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.col("notes").alias("text"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = pages.page_texts(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "path").select("path", "url", "html"))
+    return found.select(F.col("path").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licences.licences_found(pins(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of nearly equal documents."""
     found = simhash.near_pins(pins(table(spark, sf_dir, "documents")))
@@ -64,7 +98,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS: dict[str, Plan] = {p.__name__: p for p in (
-    op2_source_mix, op5_line_dedup, op8_simhash_groups, op9_benchmark_overlap, op10_quality)}
+    op1_fingerprints, op2_source_mix, op3_personal_data, op4_repeated_bytes, op5_line_dedup, op6_page_text, op7_license_scan, op8_simhash_groups, op9_benchmark_overlap, op10_quality)}
 #: Hash functions, floating-point training and clustering have no SQL form in the oracle's dialect.
 ORACLES: dict[str, str] = {}
 
