@@ -103,8 +103,8 @@ def first_register_places(raw: DataFrame, municipalities: DataFrame) -> DataFram
 # --------------------------------------------------------------- names
 
 def casefold(text: Column) -> Column:
-    """Caseless form; the sharp s is the one letter of these languages that changes length."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Caseless form. Upper case first, which spells out the sharp s, ligatures and the like and joins the two small sigmas."""
+    return F.lower(F.upper(text))
 
 
 def ranked_names(spellings: Column, priority: Column) -> Column:

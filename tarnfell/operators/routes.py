@@ -1,8 +1,9 @@
 """Route analytics on vertex tables ``(route_id, seq, lat_e5, lon_e5)``.
 
-A route is one document of bounded size (``views.ROUTE_SPAN`` vertices), so its
-vertices may meet in one window or array; all operators share one shuffle by
-route. Nothing larger than a route is ever gathered.
+Lengths, markers and samples are computed on stretches of a route: windows run
+inside ``(route, stretch)`` and one summary row per stretch is ordered per
+route, so a route that holds a third of all vertices is spread like any other.
+Line simplification and the minimum spacing look at a route as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnfell.functions import fixed, geo
+from tarnfell.operators.ordered import previous_value
 
 
 def _by_seq(*frame: int):
@@ -23,7 +25,6 @@ def _by_seq(*frame: int):
 
 
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
-_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 _FROM = (Window.currentRow, Window.unboundedFollowing)
 # Guards against a last-digit difference dropping the sample at the very end.
 _EPS = 1e-9
@@ -31,19 +32,38 @@ _EPS = 1e-9
 
 # --------------------------------------------------------------- lengths
 
-def segments(points: DataFrame) -> DataFrame:
-    """Each vertex with its predecessor, segment length and distance travelled."""
+# Vertex numbers of one stretch.
+_STRETCH = 1 << 16
+
+
+def _legs(points: DataFrame) -> DataFrame:
+    """``segments`` with the route's ``total`` and ``is_last``, stretch by stretch."""
     lat, lon = F.col("lat_e5") / 1e5, F.col("lon_e5") / 1e5
-    placed = points.select("route_id", "seq", lat.alias("lat"), lon.alias("lon"))
-    paired = placed.select("*", F.lag("lat").over(_by_seq()).alias("lat0"), F.lag("lon").over(_by_seq()).alias("lon0"))
+    placed = points.select("route_id", "seq", lat.alias("lat"), lon.alias("lon"), F.floor(F.col("seq") / _STRETCH).alias("_stretch"))
+    before = F.struct("lat", "lon")
+    paired = previous_value(placed, ["route_id"], "_stretch", ["seq"], before, "_before")
+    paired = paired.select(*placed.columns, F.col("_before.lat").alias("lat0"), F.col("_before.lon").alias("lon0"))
     metres = F.coalesce(geo.geodesic_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), F.lit(0.0))
     measured = paired.withColumn("segment", metres)
-    return measured.withColumn("travelled", F.sum("segment").over(_by_seq(*_UP_TO)))
+    sums = measured.groupBy("route_id", "_stretch").agg(F.sum("segment").alias("_sum"), F.max("seq").alias("_end"))
+    route = Window.partitionBy("route_id")
+    earlier = F.sum("_sum").over(route.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    whole = sums.select("route_id", "_stretch", F.coalesce(earlier, F.lit(0.0)).alias("_carry"),
+                        F.sum("_sum").over(route).alias("total"), F.max("_end").over(route).alias("_last"))
+    inside = F.sum("segment").over(Window.partitionBy("route_id", "_stretch").orderBy("seq").rowsBetween(*_UP_TO))
+    legs = measured.withColumn("_inside", inside).join(whole, ["route_id", "_stretch"])
+    return legs.select("route_id", "seq", "lat", "lon", "lat0", "lon0", "segment", (F.col("_carry") + F.col("_inside")).alias("travelled"),
+                       "total", (F.col("seq") == F.col("_last")).alias("is_last"))
+
+
+def segments(points: DataFrame) -> DataFrame:
+    """Each vertex with its predecessor, segment length and distance travelled."""
+    return _legs(points).drop("total", "is_last")
 
 
 def route_lengths(points: DataFrame) -> DataFrame:
     """Length as the sum of geodesic segments, connectors between strokes included."""
-    return segments(points).groupBy("route_id").agg(F.count("*").alias("vertices"), F.sum("segment").alias("metres"))
+    return _legs(points).groupBy("route_id").agg(F.count("*").alias("vertices"), F.sum("segment").alias("metres"))
 
 
 def route_boxes(points: DataFrame) -> DataFrame:
@@ -53,8 +73,7 @@ def route_boxes(points: DataFrame) -> DataFrame:
 
 
 def _with_total(points: DataFrame) -> DataFrame:
-    return (segments(points).withColumn("total", F.max("travelled").over(_by_seq(*_ALL)))
-            .withColumn("before", F.col("travelled") - F.col("segment")))
+    return _legs(points).withColumn("before", F.col("travelled") - F.col("segment"))
 
 
 def distance_markers(points: DataFrame, spacing: float | None = None) -> DataFrame:
@@ -80,8 +99,7 @@ def resampled(points: DataFrame, spacing: float = fixed.SAMPLE_SPACING_M,
     """
     legs = _with_total(points)
     step = F.greatest(F.lit(spacing), F.col("total") / (max_samples - 1))
-    legs = (legs.withColumn("step", step)
-            .withColumn("is_first", F.col("lat0").isNull()).withColumn("is_last", F.lead("lat").over(_by_seq()).isNull()))
+    legs = legs.withColumn("step", step).withColumn("is_first", F.col("lat0").isNull())
     first = F.floor(F.col("before") / F.col("step") + _EPS) + 1
     last = F.least(F.floor(F.col("travelled") / F.col("step") + _EPS), F.lit(max_samples - 1).cast("long"))
     steps = F.when((F.col("segment") > 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))

@@ -13,7 +13,7 @@ from tarnfell.sources.views import cte, view
 _FIELDS = fixed.REQUIRED_FIELDS + ["release_notes"]
 _FIELD_CASE = "CASE (doc_id * 7) % 9 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FIELDS)) + " ELSE 'other' END"
 _METADATA = f"""SELECT concat(lang, '-', CAST(doc_id % 50 AS VARCHAR(20))) AS locale, {_FIELD_CASE} AS field,
-    max(CASE WHEN doc_id % 13 = 0 THEN ' \t ' WHEN doc_id % 4 = 0 THEN concat('  ', substring(text, 1, 25), ' ') ELSE concat(' ', text) END) AS value FROM {{documents}} GROUP BY 1, 2"""
+    max(CASE WHEN doc_id % 13 = 0 THEN ' \t ' WHEN doc_id % 4 = 0 THEN concat('  ', source, ' ') ELSE concat(' ', text) END) AS value FROM {{documents}} GROUP BY 1, 2"""
 _TRIM = "trim(value, concat(' ', chr(9), chr(10), chr(13), chr(12), chr(11)))"
 SQL_META = f"meta AS ({_METADATA.format(documents='documents')})"
 _LIMIT = "CASE field " + " ".join(f"WHEN '{f}' THEN {n}" for f, n in fixed.FIELD_LIMITS.items()) + " END"
@@ -67,13 +67,13 @@ def u3(spark, sf):
     return ops.expected_minus_actual(strings, LANGUAGES, strings)
 
 
-@query("Q4_translation_problems", cte("strings") + f""", s AS (SELECT str_key, lang, CASE WHEN length(value) % 9 = 0 THEN str_key WHEN length(value) % 2 = 0 THEN substring(value, 1, 10) ELSE value END AS value FROM fx_strings
+@query("Q4_translation_problems", cte("strings") + f""", s AS (SELECT str_key, lang, CASE WHEN length(value) % 9 = 0 THEN str_key WHEN length(value) % 2 = 0 THEN concat(lang, '-', str_key) ELSE value END AS value FROM fx_strings
     WHERE NOT ends_with(str_key, '7'))
   SELECT str_key, lang, 'missing' AS problem FROM (SELECT str_key, unnest({LANGUAGES}) AS lang FROM (SELECT DISTINCT str_key FROM s)) w
     WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.str_key = w.str_key AND s.lang = w.lang)
   UNION ALL SELECT str_key, lang, 'same as key' FROM s WHERE value = str_key UNION ALL SELECT str_key, lang, 'too long' FROM s WHERE ends_with(str_key, '3') AND length(value) > 12""")
 def q4(spark, sf):
     strings = view(spark, sf, "strings").selectExpr(
-        "str_key", "lang", "CASE WHEN length(value) % 9 = 0 THEN str_key WHEN length(value) % 2 = 0 THEN substring(value, 1, 10) ELSE value END AS value")
+        "str_key", "lang", "CASE WHEN length(value) % 9 = 0 THEN str_key WHEN length(value) % 2 = 0 THEN concat(lang, '-', str_key) ELSE value END AS value")
     key = F.col("str_key")
     return ops.translation_problems(strings, LANGUAGES, key.endswith("7"), key.endswith("3"))

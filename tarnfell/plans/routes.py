@@ -9,7 +9,7 @@ from tarnfell.operators import routes as ops
 from tarnfell.plans import sqlgeo
 from tarnfell.plans.registry import query
 from tarnfell.sources.tables import table
-from tarnfell.sources.views import ROUTE_SPAN, cte, view
+from tarnfell.sources.views import cte, view
 
 SQL_SEGMENTS = """paired AS (SELECT route_id, seq, lat_e5 / 1e5 AS lat, lon_e5 / 1e5 AS lon, lag(lat_e5 / 1e5) OVER w AS lat0,
     lag(lon_e5 / 1e5) OVER w AS lon0 FROM fx_points WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
@@ -27,7 +27,7 @@ SQL_SAMPLES = SQL_TOTAL + """, stepped AS (SELECT *, greatest(25e0, total / 499)
       FROM (SELECT *, unnest(range(CAST(floor(before / step + 1e-9) AS BIGINT) + 1, CAST(least(floor(travelled / step + 1e-9), 499) AS BIGINT) + 1)) AS k
         FROM reached WHERE segment > 0)
     UNION ALL SELECT route_id, CAST(top AS BIGINT) + 1, total, lat, lon FROM reached WHERE is_last AND total > 0 AND top + 1 < 500 AND total - top * step > 0.5)"""
-SQL_PROFILE = SQL_SAMPLES + f""", keyed AS (SELECT *, CAST(floor(wy) AS BIGINT) % 125 AS row, CAST(floor(wx) AS BIGINT) % 120 AS col FROM (
+SQL_PROFILE = SQL_SAMPLES + f""", keyed AS (SELECT *, CAST(floor(wy) AS BIGINT) % (SELECT max(row) + 1 FROM fx_dem) AS row, CAST(floor(wx) AS BIGINT) % (SELECT max(col) + 1 FROM fx_dem) AS col FROM (
     SELECT route_id, k, distance, (lon + 180e0) / 360e0 * 1048576e0 AS wx,
       (1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / pi()) / 2e0 * 1048576e0 AS wy FROM samples)),
   profile AS MATERIALIZED (SELECT route_id, k, distance, height FROM keyed LEFT JOIN fx_dem USING (row, col))"""
@@ -38,12 +38,14 @@ def points(spark, sf):
 
 
 def profile(spark, sf):
-    """Samples of every route with the height of the pixel under them, folded onto the small grid."""
+    """Samples of every route with the height of the pixel under them, folded onto the extent of the grid."""
     samples = ops.resampled(points(spark, sf))
     pixel = geo.tile_pixel(F.col("lon"), F.col("lat"), 12)
-    row = (pixel["tile_y"] * 256 + pixel["px_row"]) % 125
-    col = (pixel["tile_x"] * 256 + pixel["px_col"]) % 120
-    return ops.sampled_heights(samples, view(spark, sf, "dem"), row, col)
+    dem = view(spark, sf, "dem")
+    rows, cols = (dem.agg(F.max(c) + 1).scalar() for c in ("row", "col"))
+    row = (pixel["tile_y"] * 256 + pixel["px_row"]) % rows
+    col = (pixel["tile_x"] * 256 + pixel["px_col"]) % cols
+    return ops.sampled_heights(samples, dem, row, col)
 
 
 @query("W1_segments", cte("points") + f", {SQL_SEGMENTS} SELECT route_id, seq, round(segment, 2) AS segment, round(travelled, 1) AS travelled FROM segs")
@@ -136,9 +138,9 @@ def w6(spark, sf):
     return ops.simplified(points(spark, sf), 600.0)
 
 
-_LOG = f"""SELECT user_id * 1000000000 + CAST(floor(event_id / {ROUTE_SPAN}.0) AS BIGINT) AS route_id, event_id AS seq,
+_LOG = """SELECT user_id AS route_id, event_id AS seq,
     CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_type IN ('click', 'error') THEN 'undo' ELSE 'append' END AS op,
-    CAST(1 + event_id % 5 AS INT) AS size FROM {{events}}"""
+    CAST(1 + event_id % 5 AS INT) AS size FROM {events}"""
 
 
 @query("M5_surviving_strokes", f"""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS i FROM ({_LOG.format(events='events')})),

@@ -12,17 +12,19 @@ from tarnfell.plans.routes import _LOG
 from tarnfell.plans.telemetry import SQL_BUCKET
 from tarnfell.session import scratch_path
 from tarnfell.sources import documents as docs
-from tarnfell.sources.tables import table
+from tarnfell.sources.tables import is_folder, table
 from tarnfell.sources.views import VIEWS, cte
 from tarnfell.streaming import metrics, sinks, stateful
 
 RESETS = ["2024-01-10 00:00:00", "2024-01-20 12:00:00"]
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files."""
+def event_stream(spark: SparkSession, sf: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The events table as a stream of files: those in its folder, or the one file it is."""
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = f"{sf}/events.parquet"
+    return stream.parquet(path) if is_folder(spark, path) else stream.option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 def view_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -82,7 +84,7 @@ def m6(spark, sf):
     table(spark, sf, "orders").selectExpr(
         "concat('r', o_custkey) AS id", "cast(o_orderdate AS timestamp) AS createdAt", "o_totalprice AS meters",
         "cast(o_orderkey AS int) AS schemaVersion").write.json(path)
-    stream = docs.document_stream(spark, path, docs.SAVED_ROUTE).select("id", "createdAt", "schemaVersion", "meters")
+    stream = docs.document_stream(spark, path, docs.SAVED_ROUTE, multi_line=False).select("id", "createdAt", "schemaVersion", "meters")
     changes = drained(spark, stream, "m6", "append")
     current = document_ops.latest_per_id(changes, "id", ["createdAt", "schemaVersion"])
     return current.select("id", F.col("schemaVersion").cast("long").alias("write_id"), F.col("meters").alias("metres"))

@@ -200,7 +200,7 @@ def a23b(spark, sf):
 _EXTENTS = """SELECT CAST(floor(o_orderkey / 500.0) AS BIGINT) AS extent_id, min(CAST(o_orderkey % 120 AS BIGINT)) + (CAST(floor(o_orderkey / 500.0) AS BIGINT) * 37) % 300 AS col,
     min(CAST(floor(o_orderkey / 120.0) AS BIGINT)) AS row, max(CAST(o_orderkey % 120 AS BIGINT)) - min(CAST(o_orderkey % 120 AS BIGINT)) + 1 AS width,
     max(CAST(floor(o_orderkey / 120.0) AS BIGINT)) - min(CAST(floor(o_orderkey / 120.0) AS BIGINT)) + 1 AS height FROM {orders} GROUP BY CAST(floor(o_orderkey / 500.0) AS BIGINT)"""
-_WINDOWS = """SELECT l_orderkey * 8 + l_linenumber AS window_id, l_partkey % 400 AS col, l_orderkey % 1000 - 20 AS row,
+_WINDOWS = """SELECT l_orderkey * 8 + l_linenumber AS window_id, l_partkey % 400 AS col, CAST(floor(l_orderkey / 120.0) AS BIGINT) - 20 AS row,
     1 + l_suppkey % 25 AS width, 1 + l_partkey % 19 AS height FROM {lineitem}"""
 
 

@@ -19,12 +19,34 @@ def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool
             .option("pathGlobFilter", "*.json").json(path)).filter("id IS NOT NULL")
 
 
-def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The same directory as a stream of new files."""
+def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000,
+                    multi_line: bool = True) -> DataFrame:
+    """The same directory as a stream of new files. A file is read once: see ``document_changes`` for rewrites."""
     return (spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")
+            .option("multiLine", str(multi_line).lower())
             .option("maxFilesPerTrigger", files_per_trigger).json(path)).filter("id IS NOT NULL")
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """``path, modified, length`` of every document file, without reading any."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    return files.select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+def document_changes(spark: SparkSession, path: str, schema: str, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has changed in a directory since ``before``, an earlier ``listing`` that was stored.
+
+    Returns the documents of new and rewritten files, read again whole, and the
+    paths (``path``) of deleted files.
+    """
+    now = listing(spark, path)
+    fresh = now.join(before, ["path", "modified", "length"], "left_anti").select("path")
+    read = (spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true")
+            .option("pathGlobFilter", "*.json").json(path)).select("*", F.col("_metadata.file_path").alias("path"))
+    changed = read.join(fresh, "path", "left_semi").filter("id IS NOT NULL")
+    return changed, before.join(now, "path", "left_anti").select("path")
+
+
 def read_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Routes of catalogue files; only coordinate pairs of exactly two numbers are kept, in order."""
     raw = spark.read.schema(CATALOGUE).option("multiLine", str(multi_line).lower()).option("mode", "DROPMALFORMED").json(path)

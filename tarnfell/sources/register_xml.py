@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SCHEMA = """
     stedsnummer bigint, navneobjekthovedgruppe string, navneobjektgruppe string, sortering string,
     `språkprioritering` string,
-    posisjon struct<Point: struct<pos: string>, LineString: struct<posList: string>>,
-    kommune struct<Kommune: struct<kommunenavn: string, fylkesnavn: string>>,
+    posisjon string,
+    kommune array<struct<Kommune: array<struct<kommunenavn: string, fylkesnavn: string>>>>,
     stedsnavn array<struct<Stedsnavn: struct<navnestatus: string, `språk`: string,
       `skrivemåte`: array<struct<`Skrivemåte`: struct<`komplettskrivemåte`: string, `skrivemåtestatus`: string>>>>>>
 """
@@ -21,7 +21,9 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     """One row per place with its spellings as an array; rows without a position are left out."""
     raw = (spark.read.format("xml").schema(SCHEMA).option("rowTag", ROW_TAG)
            .option("ignoreNamespace", "true").load(path))
-    text = F.concat_ws(" ", "posisjon.Point.pos", "posisjon.LineString.posList")
+    # The geometry as its own markup: positions of points, lines and areas at any depth.
+    text = F.concat_ws(" ", F.regexp_extract_all("posisjon", F.lit(r"<(?:\w+:)?pos(?:List)?(?:\s[^>]*)?>([^<]*)<"), F.lit(1)))
+    district = F.get(F.flatten(F.transform("kommune", lambda k: k["Kommune"])), 0)
     numbers = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), lambda t: t.cast("double"))
     xs = F.filter(numbers, lambda _v, i: i % 2 == 0)
     ys = F.filter(numbers, lambda _v, i: i % 2 == 1)
@@ -40,7 +42,7 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
         F.col("språkprioritering").alias("priority"),
         ((F.array_min("_xs") + F.array_max("_xs")) / 2).alias("x"),
         ((F.array_min("_ys") + F.array_max("_ys")) / 2).alias("y"),
-        F.col("kommune.Kommune.kommunenavn").alias("adm"), F.col("kommune.Kommune.fylkesnavn").alias("region"),
+        district["kommunenavn"].alias("adm"), district["fylkesnavn"].alias("region"),
         F.flatten(F.transform("stedsnavn", spelled)).alias("spellings"))
 
 

@@ -12,19 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnfell.sources.tables import table
 
-# A route is one recorded stretch of a user's track. Cutting a track every
-# ROUTE_SPAN event numbers bounds a route's size by construction, as a saved
-# route is one document in the data model.
-ROUTE_SPAN = 4096
-
 VIEWS: dict[str, str] = {
     # Route vertices around a base point of the user.
-    "points": f"""
-        SELECT user_id * 1000000000 + CAST(floor(event_id / {ROUTE_SPAN}.0) AS BIGINT) AS route_id,
-          event_id AS seq, ts,
+    "points": """
+        SELECT user_id AS route_id, event_id AS seq, ts,
           5500000 + (user_id * 104729) % 1500000 + (event_id * 7919) % 2000 AS lat_e5,
           400000 + (user_id * 611953) % 2600000 + (event_id * 15485863) % 4000 AS lon_e5
-        FROM {{events}}""",
+        FROM {events}""",
     # Named places with name collisions.
     "places": """
         SELECT p_partkey + 1 AS place_id, p_name AS name, CAST(p_size % 10 AS INT) AS kind,
@@ -68,7 +62,7 @@ VIEWS: dict[str, str] = {
     # Localised strings with gaps.
     "strings": """
         SELECT concat('k', CAST(CAST(doc_id % 40 AS INT) AS VARCHAR(20))) AS str_key, lang,
-          max(substring(text, 1, 40)) AS value
+          max(text) AS value
         FROM {documents} GROUP BY 1, 2""",
     # Map pixels with colours.
     "pixels": """

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfell.sources.tables import is_folder
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,7 +32,9 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
 
 
 def emitted(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All rows a drained stream has written, with their batch number."""
+    """All rows a drained stream has written, with their batch number; none if no batch ran."""
+    if not is_folder(spark, path):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
 
 
