@@ -133,7 +133,19 @@ def w5(spark, sf):
     return ops.stored_profile(routes)
 
 
-@query("W6_simplified_lines")
+@query("W6_simplified_lines", cte("points") + """, numbered AS MATERIALIZED (SELECT route_id, seq, lat_e5, lon_e5, CAST(lon_e5 AS DOUBLE) AS x, CAST(lat_e5 AS DOUBLE) AS y,
+    row_number() OVER (PARTITION BY route_id ORDER BY seq) AS i FROM fx_points),
+  spans(route_id, lo, hi) AS (SELECT route_id, CAST(1 AS BIGINT), max(i) FROM numbered GROUP BY route_id
+    UNION ALL SELECT route_id, unnest([lo, cut]), unnest([cut, hi]) FROM (
+      SELECT route_id, lo, hi, arg_max(i, {'off': off, 'turn': -i}) AS cut, max(off) AS worst FROM (
+        SELECT *, sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) AS off FROM (
+          SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, (px * dx + py * dy) / (dx * dx + dy * dy))) END AS t FROM (
+            SELECT s.route_id, s.lo, s.hi, p.i, p.x - a.x AS px, p.y - a.y AS py, b.x - a.x AS dx, b.y - a.y AS dy FROM spans s
+              JOIN numbered a ON a.route_id = s.route_id AND a.i = s.lo JOIN numbered b ON b.route_id = s.route_id AND b.i = s.hi
+              JOIN numbered p ON p.route_id = s.route_id AND p.i > s.lo AND p.i < s.hi)))
+      GROUP BY route_id, lo, hi) WHERE worst > 600),
+  kept AS (SELECT route_id, lo AS i FROM spans UNION SELECT route_id, hi FROM spans)
+  SELECT route_id, seq, lat_e5, lon_e5 FROM numbered JOIN kept USING (route_id, i)""")
 def w6(spark, sf):
     return ops.simplified(points(spark, sf), 600.0)
 

@@ -104,6 +104,20 @@ def g7(spark, sf):
     return boxes.select("place_id", *[c.cast("long").alias(k) for k, c in window.items()])
 
 
+_LEGS = """SELECT seq, lat_e5 / 1e5 AS lat1, lat_e5 / 1e5 + 0.5e0 AS lat2, (seq * 37001 % 360000) / 1e3 - 180e0 AS lon1,
+    (seq * 91009 % 360000) / 1e3 - 180e0 AS lon2, (seq % 11) / 1e1 AS t FROM {points}"""
+
+
+@query("G8_wrapped_points", cte("points") + f"""SELECT seq, round(lat1 + (lat2 - lat1) * t, 9) AS lat,
+    round(CASE WHEN lon > 180 THEN lon - 360 WHEN lon < -180 THEN lon + 360 ELSE lon END, 9) AS lon FROM (
+      SELECT *, lon1 + (CASE WHEN lon2 - lon1 > 180 THEN lon2 - lon1 - 360 WHEN lon2 - lon1 < -180 THEN lon2 - lon1 + 360 ELSE lon2 - lon1 END) * t AS lon
+      FROM ({_LEGS.format(points='fx_points')}))""")
+def g8(spark, sf):
+    legs = spark.sql(_LEGS, points=view(spark, sf, "points"))
+    lat, lon = geo.wrapped_lerp(*[F.col(c) for c in ("lat1", "lon1", "lat2", "lon2", "t")])
+    return legs.select("seq", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
 @query("G9_zoom_and_scale", cte("places") + """SELECT place_id,
   round(CASE WHEN span > 0 AND w > 0 THEN log2(360e0 * (w / 256e0) / nullif(span, 0)) ELSE 0 END, 6) AS zoom,
   round(span * (cos(lat_e5 / 1e5 * pi() / 180e0) * 111319.5e0) / w, 4) AS metres_per_point

@@ -1,5 +1,7 @@
 """Every registered query against its SQL oracle, on the smallest tables."""
 
+import re
+
 import pytest
 from check import compare, connect
 
@@ -14,8 +16,9 @@ def duck():
     return connect(SF_DIR)
 
 
-def test_only_line_simplification_has_no_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"W6_simplified_lines"}
+def test_every_query_has_an_oracle():
+    own = {q for q in QUERIES if not re.match(r"op\d+_|pipeline$", q)}  # the text queries are tested apart
+    assert own == set(ORACLES) & own
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
