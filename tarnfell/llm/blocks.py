@@ -128,6 +128,19 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+#: Elements that say nothing about the part of the page they stand in, unless they carry class words.
+_PLAIN = frozenset("""a b blockquote body br center dd div dl dt em figcaption figure font h1 h2 h3 h4 h5 h6 html i li ol p pre q s
+small span strong table tbody td th thead tr u ul""".split())
+
+
+def _nearest(path: tuple[tuple[str, tuple[str, ...]], ...]) -> list[str]:
+    """The innermost ancestor that says something, and whether any does."""
+    for tag, words in reversed(path):
+        if tag not in _PLAIN or words:
+            return [f"near-{tag}" if tag not in _PLAIN else "near-plain", *(f"near-class-{w}" for w in words)]
+    return ["near-nothing"]
+
+
 def features(parts: list[Block]) -> list[list[str]]:
     """Names of the features that hold, by block."""
     out = []
@@ -138,6 +151,8 @@ def features(parts: list[Block]) -> list[list[str]]:
         own = ["bias", f"words{min(n, 64).bit_length()}", f"links{4 * part.linked // size}", f"end{part.text[-1] if part.text[-1] in '.!?:,;' else '-'}"]
         own += [f"in-{t}" for t in tags if t not in ("html", "body")]
         own += [f"class-{w}" for w in words]
+        own += _nearest(part.path)
+        own += ["nested"] if sum(t == "article" for t, _ in part.path) > 1 else []
         if part.path:
             own.append(f"leaf-{part.path[-1][0]}")
         own += ["mark"] if re.search(r"[©®™]|\b(?:19|20)[0-9]{2}\b", part.text) else []

@@ -45,7 +45,7 @@ def _both(a: np.ndarray, axis: int) -> np.ndarray:
     return np.logaddexp.reduce(a, axis=axis)
 
 
-def train(chains: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rate: float = 0.5, damping: float = 1e-3) -> Field:
+def train(chains: list[tuple[list[list[str]], list[int]]], rounds: int = 200, rate: float = 0.5, damping: float = 1e-4) -> Field:
     """Fit by gradient ascent on the likelihood of whole chains (forward-backward, all chains side by side)."""
     names = sorted({f for rows, _ in chains for row in rows for f in row})
     index = {f: i for i, f in enumerate(names)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import random
 
 from tarnfell.llm.blocks import blocks, features
@@ -25,6 +26,8 @@ _AFTER = (('div class="comments"', "comments"), ('section id="comments"', "comme
           ('div class="comment"', "comments"), ('section class="reader-comments"', "comments"), ('div class="responses"', "comments"))
 _BOTTOM = (("footer", "prose"), ("footer", "links"), ('div class="footer"', "prose"), ('div id="footer"', "links"), ('footer class="site-footer"', "mixed"),
            ('div class="copyright"', "prose"), ('div class="legal"', "prose"))
+#: How sentences end, tidy and not.
+_ENDS = (".", ".", ".", "!", "?", "", "###", "&amp;&amp;", "$$$", " |", "%")
 
 
 class _Page:
@@ -33,12 +36,12 @@ class _Page:
 
     def words(self, low: int, high: int, end: str = "") -> str:
         r = self.random
-        text = " ".join("".join(r.choice("bdfghklmnprstvw") + r.choice("aeiouyåäöéü") for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high)))
+        text = " ".join("".join(r.choice("bdfghklmnprstvw") + r.choice("aeiouyåäöéü") for _ in range(r.choice([1, 2, 3, 4, 6]))) for _ in range(r.randint(low, high)))
         return text[:1].upper() + text[1:] + end
 
     def leaf(self, tag: str, text: str, label: int, inner: str = "") -> None:
         """One leaf block; ``inner`` wraps its text (or a part of it) in an inline tag."""
-        self.labels[" ".join(text.split())] = label
+        self.labels[" ".join(html.unescape(text).split())] = label
         name = tag.split()[0]
         close = "" if name in ("p", "li") and self.random.random() < 0.25 else f"</{name}>"
         if inner == "half":
@@ -84,11 +87,12 @@ class _Page:
             if r.random() < 0.6:
                 self.leaf(r.choice(["h2", "h3"]), self.words(1, 3), 0)
             for _ in range(r.randint(1, 4)):
-                self.out.append(r.choice(["<div>", '<div class="comment">', "<li>", "<article>", "<div>"]))
+                opened = r.choice(["div", 'div class="comment"', "li", "article", "div"])
+                self.out.append(f"<{opened}>")
                 self.leaf(r.choice(["p", "h4", "div"]), self.words(1, 3), 0)
                 self.out.append("<p>" if r.random() < 0.3 else "")
                 self.leaf("p", self.words(4, 50, "."), 0)
-                self.out.append({"<l": "</li>", "<a": "</article>"}.get(self.out[-1][:2], "</div>"))
+                self.out.append(f"</{opened.split()[0]}>")
         self.out.append(f"</{wrapper.split()[0]}>")
 
     def article(self) -> None:
@@ -97,11 +101,11 @@ class _Page:
         wrappers = () if wrappers == ("body-only",) else wrappers
         self.out += [f"<{w}>" for w in wrappers]
         if r.random() < 0.95:
-            self.leaf(r.choice(["h1", "h1", "h1", "h2"]), self.words(1, 14, r.choice(["", "", "."])), 1)
+            self.leaf(r.choice(["h1", "h1", "h1", "h2"]), self.words(1, 14, r.choice(["", "", "", *_ENDS])), 1)
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             if kind < 0.75:
-                self.leaf("p", " ".join(self.words(1, 25, r.choice([".", ".", ".", "!", "?"])) for _ in range(r.choice([1, 1, 2, 4, 8]))), 1,
+                self.leaf("p", " ".join(self.words(1, 25, r.choice(_ENDS)) for _ in range(r.choice([1, 1, 2, 4, 8]))), 1,
                           r.choice(["", "", "half", "b", "em"]))
             elif kind < 0.8:
                 self.leaf(r.choice(["h2", "h3"]), self.words(1, 8), 1)
@@ -117,7 +121,7 @@ class _Page:
             elif kind < 0.95:
                 self.part(*r.choice(_SIDE))
             else:
-                self.leaf("p", self.words(1, 3, "."), 1)
+                self.leaf("p", self.words(1, 3, r.choice(_ENDS)), 1)
         if r.random() < 0.3 and wrappers:
             self.part(*r.choice(_AFTER))
         self.out += [f"</{w.split()[0]}>" for w in reversed(wrappers)]
@@ -141,7 +145,7 @@ def labelled_pages(count: int, seed: int = 0) -> list[tuple[str, dict[str, int]]
     return [_Page(seed + i).build() for i in range(count)]
 
 
-def trained(count: int = 900) -> Field:
+def trained(count: int = 700) -> Field:
     """The field that tells article blocks, trained on ``count`` labelled pages; the same at every call."""
     chains = []
     for page, labels in labelled_pages(count):

@@ -59,7 +59,8 @@ def repeated_passages(pins, strings, span=10):
                 if (window := tuple(words[i:i + size])) in windows:
                     hit.update(range(i, i + size))
                     items |= windows[window]
-        out.append((pin, len(words), len(hit), sorted(str(i) for i in items if i is not None)))
+        keys = sorted(str(i) for i in items if i is not None)
+        out.append((pin, len(words), len(hit), len(keys), keys))
     return out
 
 
