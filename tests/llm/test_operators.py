@@ -228,6 +228,20 @@ def test_fuzzy_lines(spark):
     same(rows(lines.deduplicated_lines(spark.createDataFrame(data, "id bigint, notes string"))), want)
 
 
+def test_distances(spark):
+    maker = random.Random(4)
+    data = []
+    for _ in range(120):
+        a = "".join(maker.choice("abc é") for _ in range(maker.choice([0, 5, 100, 400, 900])))
+        b = list(a)
+        for _ in range(maker.choice([0, 1, 5, 30])):
+            b.insert(maker.randrange(len(b) + 1), maker.choice("xyz"))
+        data.append((a, "".join(b)[maker.randrange(3):]))
+    df = spark.createDataFrame(data, "a string, b string").repartition(2)
+    got = df.select("a", "b", lines.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == brute.levenshtein(r.a, r.b) for r in got)
+
+
 # Pages
 
 
