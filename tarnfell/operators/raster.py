@@ -187,6 +187,8 @@ def overview_pyramid(classes: DataFrame, base_z: int, min_z: int) -> DataFrame:
     """
     level = classes.filter(F.col("class") > 0).select(
         F.lit(base_z).alias("z"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "class")
+    # The base feeds the first level and the output, and what it comes from (a stencil, a warp) is dear.
+    level = cut_lineage(level)
     out = level
     for z in range(base_z - 1, min_z - 1, -1):
         level = level.groupBy(F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(

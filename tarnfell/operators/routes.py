@@ -182,20 +182,34 @@ def profile_summary(profile: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- vertex filters
 
 def minimum_spacing(points: DataFrame, spacing_e5: int) -> DataFrame:
-    """Vertices at least ``spacing_e5`` from the last kept one (plane distance)."""
-    vertex = F.struct("seq", "lat_e5", "lon_e5")
-    routes = points.groupBy("route_id").agg(F.sort_array(F.collect_list(vertex)).alias("v"))
-    empty = F.array().cast("array<struct<seq:bigint,lat_e5:bigint,lon_e5:bigint>>")
+    """Vertices at least ``spacing_e5`` from the last kept one (plane distance); the first stays.
+
+    Each choice depends on the one before, so a route is walked once, as an
+    array in Python, many routes in one Arrow batch.
+    """
+
+    @F.pandas_udf("array<int>")
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def one(x: np.ndarray, y: np.ndarray) -> list[int]:
+            keep = []
+            for i, (px, py) in enumerate(zip(x.tolist(), y.tolist())):
+                if not keep or (px - x0) ** 2 + (py - y0) ** 2 >= spacing_e5 ** 2:
+                    keep.append(i)
+                    x0, y0 = px, py
+            return keep
+
+        return pd.Series([one(np.asarray(x), np.asarray(y)) for x, y in zip(xs, ys)])
+
+    return _chosen(points, kept)
 
-    def keep(acc, p):
-        last = F.element_at(acc, -1)
-        dx, dy = p["lat_e5"] - last["lat_e5"], p["lon_e5"] - last["lon_e5"]
-        far = (F.size(acc) == 0) | (dx * dx + dy * dy >= spacing_e5 * spacing_e5)
-        return F.when(far, F.concat(acc, F.array(p))).otherwise(acc)
 
-    # The kept list is never empty after the first vertex; it starts with it.
-    kept = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.concat(empty, F.slice("v", 1, 1)), keep)
-    return routes.select("route_id", F.explode(kept).alias("p")).select("route_id", "p.*")
+def _chosen(points: DataFrame, kept) -> DataFrame:
+    """The vertices of each route whose positions ``kept(longitudes, latitudes)`` names."""
+    vertex = F.struct("seq", "lat_e5", "lon_e5")
+    routes = points.groupBy("route_id").agg(F.sort_array(F.collect_list(vertex)).alias("v"))
+    flagged = routes.withColumn("kept", kept(F.col("v.lon_e5"), F.col("v.lat_e5")))
+    chosen = F.transform("kept", lambda i: F.col("v")[i])
+    return flagged.select("route_id", F.explode(chosen).alias("p")).select("route_id", "p.*")
 
 
 def simplified(points: DataFrame, tolerance_e5: float) -> DataFrame:
@@ -227,11 +241,7 @@ def simplified(points: DataFrame, tolerance_e5: float) -> DataFrame:
 
         return pd.Series([one(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)])
 
-    vertex = F.struct("seq", "lat_e5", "lon_e5")
-    routes = points.groupBy("route_id").agg(F.sort_array(F.collect_list(vertex)).alias("v"))
-    flagged = routes.withColumn("kept", kept(F.col("v.lon_e5"), F.col("v.lat_e5")))
-    chosen = F.transform("kept", lambda i: F.col("v")[i])
-    return flagged.select("route_id", F.explode(chosen).alias("p")).select("route_id", "p.*")
+    return _chosen(points, kept)
 
 
 # --------------------------------------------------------------- edit log

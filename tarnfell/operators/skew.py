@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups above this many rows are joined without moving their rows.
-HOT_ROWS = 1 << 20
+from tarnfell.session import materialised
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Inner join of rows with one row per group, where ``size`` counts the group's rows.
 
-    Adaptive skew splitting does not reach a join whose other side is an
-    aggregate on the same key, so a hot group would be one task. There can be
-    at most ``count(rows) / hot_rows`` hot groups; that bounds what is
-    broadcast. Rows of hot groups stay where they are, all others are shuffled.
+    Joined directly, an aggregate on the same key brings its partitioning along,
+    and adaptive skew splitting does not reach the join: a hot group would be
+    one task. So the groups are written first. The join then has exchanges of
+    its own on both sides, which Spark splits where a key is hot, or broadcasts
+    the groups if their measured size is small; neither side is read twice.
     """
-    hot = F.broadcast(groups.filter(F.col(size) >= hot_rows))
-    cold = groups.filter(F.col(size) < hot_rows)
-    still = rows.join(hot, keys)
-    moved = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
-    return still.unionByName(moved).drop(size)
+    return rows.join(materialised(groups, "groups"), keys).drop(size)
 
 
 def sized(rows: DataFrame, keys: list[str], size: str, *aggregates: Column) -> DataFrame:

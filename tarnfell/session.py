@@ -63,6 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: a table of its own, of known size and without a partitioning."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partitioning by ``columns`` before rows are multiplied.
 

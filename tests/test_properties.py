@@ -228,9 +228,8 @@ def test_windows_drop_late_rows(spark):
     assert [r["n"] for r in rows] == [1, 1]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10**9])
-def test_join_groups_equals_plain_join(spark, hot_rows):
+def test_join_groups_equals_plain_join(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
     groups = skew.sized(rows, ["k"], "n", F.max("id").alias("m"))
-    found = skew.join_groups(rows, groups, ["k"], "n", hot_rows)
+    found = skew.join_groups(rows, groups, ["k"], "n")
     assert found.count() == 3000 and found.exceptAll(rows.join(groups, "k").select(*found.columns)).isEmpty()
