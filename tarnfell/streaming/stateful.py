@@ -1,9 +1,10 @@
 """Keyed state machines over event streams.
 
-Each processor is built inside a function, so that it travels to the workers by
-value. A user's rows of one micro-batch are put in order before they are
+Each processor is built inside a function with its parameters; the package must
+be on the workers' path. A user's rows of one micro-batch are put in order before they are
 applied; the trigger bounds how many that can be. Batches must arrive in time
-order, as the log they come from does.
+order, as the log they come from does: a row from before the last batch of its
+key ends the stream with an error instead of a wrong count.
 """
 
 from __future__ import annotations
@@ -24,6 +25,14 @@ PROMPTS_SCHEMA = "user_id long, event_id long, us long, app_version string, numb
 STROKES_SCHEMA = "route_id long, n_strokes int, n_vertices int, last_seq long"
 
 
+def in_order(rows: Iterator[pd.DataFrame], order: list[str], last: int | None) -> pd.DataFrame:
+    """A key's rows of one batch by ``order``; an error if they begin before ``last``, where the batch before ended."""
+    batch = pd.concat(list(rows)).sort_values(order)
+    if last is not None and len(batch) and batch[order[0]].iloc[0] < last:
+        raise ValueError(f"rows out of order: {order[0]} {batch[order[0]].iloc[0]} after {last}; give the stream older files first")
+    return batch
+
+
 def _prepared(events: DataFrame) -> DataFrame:
     return events.withColumn("us", micros(F.col("ts"))).select(*EVENT_COLUMNS)
 
@@ -34,11 +43,11 @@ def open_sessions(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS)
 
     class Opens(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("lifecycle", "launched boolean, background_us long")
+            self.state = handle.getValueState("lifecycle", "launched boolean, background_us long, last_us long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            launched, background = self.state.get() if self.state.exists() else (False, None)
-            batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+            launched, background, last = self.state.get() if self.state.exists() else (False, None, None)
+            batch = in_order(rows, ["us", "event_id"], last)
             out = []
             for row in batch.itertuples(index=False):
                 if row.kind == "background":
@@ -50,7 +59,7 @@ def open_sessions(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS)
                         opened = background is not None and row.us - background >= gap_us
                         background = None
                     out.append((key[0], row.event_id, row.us, opened))
-            self.state.update((launched, background))
+            self.state.update((launched, background, int(batch["us"].iloc[-1])))
             yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "is_open"])
 
         def close(self) -> None:
@@ -71,12 +80,12 @@ def prompt_machine(events: DataFrame, gap_days: float = fixed.PROMPT_GAP_DAYS,
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState(
                 "engagement", "launched boolean, background_us long, opens int, downloads int, "
-                "measurements int, version string, prompted_us long, number int")
+                "measurements int, version string, prompted_us long, number int, last_us long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            (launched, background, opens, downloads, measured, version, prompted, number) = (
-                self.state.get() if self.state.exists() else (False, None, 0, 0, 0, None, None, 0))
-            batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+            (launched, background, opens, downloads, measured, version, prompted, number, last) = (
+                self.state.get() if self.state.exists() else (False, None, 0, 0, 0, None, None, 0, None))
+            batch = in_order(rows, ["us", "event_id"], last)
             out = []
             for row in batch.itertuples(index=False):
                 now = int(row.us)
@@ -95,7 +104,7 @@ def prompt_machine(events: DataFrame, gap_days: float = fixed.PROMPT_GAP_DAYS,
                 if success and engaged and free:
                     version, prompted, number = row.app_version, now, number + 1
                     out.append((key[0], row.event_id, now, version, number))
-            self.state.update((launched, background, opens, downloads, measured, version, prompted, number))
+            self.state.update((launched, background, opens, downloads, measured, version, prompted, number, int(batch["us"].iloc[-1])))
             yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "app_version", "number"])
 
         def close(self) -> None:
@@ -110,11 +119,12 @@ def stroke_logs(log: DataFrame) -> DataFrame:
 
     class Strokes(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.sizes = handle.getValueState("strokes", "sizes array<int>")
+            self.sizes = handle.getValueState("strokes", "sizes array<int>, last_seq long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            sizes = list(self.sizes.get()[0]) if self.sizes.exists() else []
-            batch = pd.concat(list(rows)).sort_values("seq")
+            sizes, last = self.sizes.get() if self.sizes.exists() else ([], None)
+            sizes = list(sizes)
+            batch = in_order(rows, ["seq"], last)
             for row in batch.itertuples(index=False):
                 if row.op == "clear":
                     sizes = []
@@ -122,7 +132,7 @@ def stroke_logs(log: DataFrame) -> DataFrame:
                     sizes = sizes[:-1]
                 elif row.size_ >= 2:
                     sizes.append(int(row.size_))
-            self.sizes.update((sizes,))
+            self.sizes.update((sizes, int(batch["seq"].iloc[-1])))
             yield pd.DataFrame([(key[0], len(sizes), sum(sizes), int(batch["seq"].max()))],
                                columns=["route_id", "n_strokes", "n_vertices", "last_seq"])
 
