@@ -39,9 +39,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.BASE]
+    def count_of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE))
-    return found.select(F.col("id").alias("doc_id"), *counts, _hex(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *[count_of(k) for k in personal.BASE], _hex(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,16 @@ def test_context_and_checksums(spark):
     assert got == {1: ["iban"], 2: [], 3: ["personal_number"], 4: [], 5: []}
 
 
+def test_personal_data_query(spark):
+    given = dict(listed(pins(table(spark, SF_DIR, "documents"))))
+    for r in PLANS["op3_personal_data"](spark, SF_DIR).collect():
+        spans = brute.base_spans(given[r.doc_id])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        counts = brute.counted(spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in brute.BASE)
+        assert r.base_sha256 == brute.sha(text) and r.spans.startswith(text)
+
+
 # Repeated passages
 
 
