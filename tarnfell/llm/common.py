@@ -76,3 +76,8 @@ def over_positions(count: Column, body: Callable[[Column], Column], empty: Colum
 
 def no_longs() -> Column:
     return F.array().cast("array<bigint>")
+
+
+def bound_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)

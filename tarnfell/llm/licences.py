@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm.common import broadcast_if_small, no_longs, numbered, over_positions, split_words, stored, text_of
+from tarnfell.llm.common import bound_once, broadcast_if_small, no_longs, numbered, over_positions, split_words, stored, text_of
 
 #: Notices of common licences (fixed values: their published wording).
 NOTICES = {
@@ -35,11 +35,14 @@ def notices(spark: SparkSession) -> DataFrame:
 
 def _hashed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` with ``_grams``, the shingle hashes of the text in order."""
-    df = df.select(*keep, split_words(F.lower(text_of(text)), _NOT_WORD).alias("_words"))
-    words = F.col("_words")
-    runs = over_positions(F.size(words) - (_SHINGLE - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(_SHINGLE)]), no_longs())
-    whole = F.array(F.xxhash64(F.array_join(words, " ")))
-    return df.select(*keep, F.when(F.size(words) == 0, no_longs()).when(F.size(words) < _SHINGLE, whole).otherwise(runs).alias("_grams"))
+    def runs(words: Column) -> Column:
+        each = over_positions(F.size(words) - (_SHINGLE - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(_SHINGLE)]), no_longs())
+        whole = F.array(F.xxhash64(F.array_join(words, " ")))
+        return F.when(F.size(words) == 0, no_longs()).when(F.size(words) < _SHINGLE, whole).otherwise(each)
+
+    # Never null, and said so: else the optimizer tests for null, which hashes every text twice.
+    grams = bound_once(split_words(F.lower(text_of(text)), _NOT_WORD), runs)
+    return df.select(*keep, F.coalesce(grams, no_longs()).alias("_grams"))
 
 
 def _seeds() -> list[int]:
@@ -56,8 +59,11 @@ def _bands(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.size("_grams") - 1, F.lit(0)), F.lit(stride))
     windows = df.withColumn("_starts", starts).select(*keep, "_grams", F.explode_outer("_starts").alias("_at"))
     windows = windows.filter(F.get("_grams", F.col("_at")).isNotNull())
-    lows = [F.least(*[F.get("_grams", F.col("_at") + j).bitwiseXOR(F.lit(s).cast("long")) for j in range(_WINDOW)]) for s in _seeds()]
-    each = windows.select(*keep, "_at", F.posexplode_outer(F.array(*lows)).alias("_band", "_low"))
+    # One band a row: sixteen in one expression make code too long to be compiled.
+    masks = F.array(*[F.lit(s).cast("long") for s in _seeds()])
+    each = windows.select(*keep, "_grams", "_at", F.posexplode_outer(masks).alias("_band", "_mask"))
+    low = F.least(*[F.get("_grams", F.col("_at") + j).bitwiseXOR(F.col("_mask")) for j in range(_WINDOW)])
+    each = each.withColumn("_low", F.coalesce(low, F.lit(0).cast("long")))
     return each.select(*keep, "_at", "_band", "_low")
 
 
@@ -90,5 +96,6 @@ def licences_found(pins: DataFrame, licences: DataFrame | None = None, containme
     both = _hashed(rows.join(asked, "_row"), ["id", "licence", "first_word", "_wanted"], "notes")
     wanted = F.array_distinct("_wanted")
     share = F.size(F.array_intersect(wanted, F.col("_grams"))) / F.size(wanted)
-    found = both.select("id", "licence", share.alias("contained"), F.col("first_word").cast("long").alias("first_word"))
-    return found.filter(F.col("contained") >= containment)
+    kept = F.filter(F.array(share), lambda x: x >= containment)  # tested here, since a filter would hash the notes again
+    found = both.select("id", "licence", F.explode_outer(kept).alias("contained"), F.col("first_word").cast("long").alias("first_word"))
+    return found.filter("contained is not null")
