@@ -111,7 +111,7 @@ def levenshtein(a, b):
 
 
 def line_simhash(line):
-    return majority([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in line.split(" ")])
+    return majority([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(line.split(" "))])
 
 
 def deduplicated_lines(pins, similarity=0.8, radius=3):
