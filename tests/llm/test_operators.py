@@ -248,8 +248,11 @@ def test_distances(spark):
             b.insert(maker.randrange(len(b) + 1), maker.choice("xyz"))
         data.append((a, "".join(b)[maker.randrange(3):]))
     df = spark.createDataFrame(data, "a string, b string").repartition(2)
-    got = df.select("a", "b", lines.distance(F.col("a"), F.col("b")).alias("d")).collect()
-    assert all(r.d == brute.levenshtein(r.a, r.b) for r in got)
+    for most in (3, 20, 300, 10_000):
+        got = df.select("a", "b", lines.distance(F.col("a"), F.col("b"), F.lit(most)).alias("d")).collect()
+        for r in got:
+            want = brute.levenshtein(r.a, r.b)
+            assert r.d == want or min(r.d, want) > most
 
 
 # Pages
