@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,21 +66,30 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                    same / per, kinds[:, -1] / some]
         table = np.stack([np.asarray(c, float) for c in columns], axis=1).astype(np.float32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), table.shape[1]).cast(pa.list_(pa.float32()))],
-            names=["id", "statistics"])
+            [*(batch.column(c) for c in _carried(batch)),
+             pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), table.shape[1]).cast(pa.list_(pa.float32()))],
+            names=[*_carried(batch), "statistics"])
 
 
-def statistics(pins: DataFrame) -> DataFrame:
-    """``id`` and ``statistics`` (one float per name in ``STATISTICS``) of each pin's whole ``notes``."""
+def _carried(batch: pa.RecordBatch) -> list[str]:
+    """``id``, and the row number if there is one."""
+    return [c for c in ("id", "_row") if c in batch.schema.names]
+
+
+def _carried_schema(df: DataFrame, keep: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("id", *keep))
+
+
+def statistics(pins: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``id``, ``statistics`` (one float per name in ``STATISTICS``) of each pin's whole ``notes``, and ``keep`` (at most ``_row``)."""
     notes, words, lines = F.col("_notes"), F.col("_split"), F.split("_notes", "\n")
-    parts = pins.select("id", text_of("notes").alias("_notes")).withColumn("_split", split_words(notes, BLANKS))
+    parts = pins.select("id", *keep, text_of("notes").alias("_notes")).withColumn("_split", split_words(notes, BLANKS))
     same = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))),
                                       lambda a, b: a == b), lambda x: x))
-    counted = parts.select("id", "_notes", F.size(words).alias("_words"), F.size(F.array_distinct(words)).alias("_distinct"),
+    counted = parts.select("id", *keep, "_notes", F.size(words).alias("_words"), F.size(F.array_distinct(words)).alias("_distinct"),
                            F.size(lines).alias("_lines"), F.size(F.array_distinct(lines)).alias("_lines_distinct"),
                            same.alias("_same"))
-    kind = counted.schema["id"].dataType.simpleString()
-    return counted.mapInArrow(_measure, f"id {kind}, statistics array<float>")
+    return counted.mapInArrow(_measure, f"{_carried_schema(counted, keep)}, statistics array<float>")
 
 
 def fit(measured: DataFrame, ratings: DataFrame, rows: int = 20_000) -> Forest:
@@ -92,7 +101,7 @@ def fit(measured: DataFrame, ratings: DataFrame, rows: int = 20_000) -> Forest:
     return train(table.astype(float), sample["_good"].to_numpy(float))
 
 
-def note_quality(pins: DataFrame, ratings: DataFrame, rows: int = 20_000) -> DataFrame:
+def note_quality(pins: DataFrame, ratings: DataFrame, rows: int = 20_000, keep: Sequence[str] = ()) -> DataFrame:
     """Score the quality of each pin's ``notes``.
 
     ``pins`` has ``id`` and ``notes`` of saved pins; ``ratings`` has ``id`` and
@@ -106,17 +115,17 @@ def note_quality(pins: DataFrame, ratings: DataFrame, rows: int = 20_000) -> Dat
     Returns one row per input row: ``id``, ``score`` (0 to 1, higher is better)
     and ``predicted`` (1 from 0.5 on). Null notes are empty notes and get a
     score too. Without usable ratings every score is 0.5. Repeated ids stay
-    repeated; extra columns are not carried; an empty table gives no rows.
+    repeated; extra columns are not carried, but for ``_row`` if ``keep`` names
+    it; an empty table gives no rows.
     """
-    measured = stored(statistics(pins), "statistics")
+    measured = stored(statistics(pins, keep), "statistics")
     forest = fit(measured, ratings, rows)
-    kind = measured.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = batch.column("statistics").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
             scores = forest.scores(table.astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                                             names=["id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _carried(batch)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
+                                             names=[*_carried(batch), "score", "predicted"])
 
-    return measured.mapInArrow(score, f"id {kind}, score double, predicted int")
+    return measured.mapInArrow(score, f"{_carried_schema(measured, keep)}, score double, predicted int")
