@@ -14,12 +14,28 @@ from tarnfell.llm.common import numbered, text_of
 # last match ended), and its loops never give back: the matches are those of
 # the plain pattern, in time linear in the text.
 _LOCAL = "A-Za-z0-9._%+-"
+#: Countries by the length of their account numbers (the IBAN registry, and the countries that use such numbers without being in it).
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """An account number as long as its country has it; of a country without a known length, as long as it goes."""
+    known = "|".join(c for names in _IBAN_COUNTRIES.values() for c in names.split())
+    each = [rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}" for n, names in _IBAN_COUNTRIES.items()]
+    each.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20?+[A-Z0-9]){{11,30}}+")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(each)})(?![A-Za-z0-9])"
+
+
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban(),
     "personal_number": r"(?<![0-9])[0-9]{6}[+-]?+[0-9]{4}(?![0-9])",
 }
 #: Kinds in the order of the report; the first four are kept whenever their checks pass.
@@ -101,8 +117,8 @@ def personal_data(pins: DataFrame) -> DataFrame:
 
     ``pins`` has ``id`` and ``notes`` of saved pins. Kinds, in order: ``email``,
     ``ip`` (four parts of at most 255), ``card`` (16 to 19 digits, Luhn),
-    ``phone`` (plus sign, 8 to 15 digits), ``iban`` (mod-97) and
-    ``personal_number`` (ten digits, Luhn). Patterns propose spans, leftmost
+    ``phone`` (plus sign, 8 to 15 digits), ``iban`` (as long as its country has
+    it, mod-97) and ``personal_number`` (ten digits, Luhn). Patterns propose spans, leftmost
     first and without overlap within a kind; checks confirm them; what fails is
     dropped without another try. Of the last two kinds a span needs a score:
     context words within 40 characters add to it (a personal number without

@@ -164,6 +164,23 @@ def test_context_and_checksums(spark):
     assert got == {1: ["iban"], 2: [], 3: ["personal_number"], 4: [], 5: []}
 
 
+def test_ibans_end_where_they_end(spark):
+    numbers = {"NO9386011117947": ["", " Bank", " 2024", ". Next"], "NO93 8601 1117 947": [" BIC DNBANOKK", " 12 kr"],
+               "GB82 WEST 1234 5698 7654 32": [" Please", " 5 days", " BIC"], "DE89370400440532013000": [" BIC COBADEFF", " DE89370400440532013000", "\n2024"],
+               "MT84MALT011000012345MTLCAST001S": [" A", " 7"], "LC55HEMM000100010012001200023015": [" Call 112"]}
+    data, want = [], {}
+    for number, ends in numbers.items():
+        for end in ends:
+            text = f"IBAN {number}{end}"
+            want[len(data)] = [(5, 5 + len(number))] + ([(text.rindex("DE"), len(text))] if end.startswith(" DE") else [])
+            data.append((len(data), text))
+    for text in ("IBAN NO9386011117948 Bank", "IBAN NO93860111179470", "IBAN NO938601111794 7X"):  # wrong sum, too long, no end
+        want[len(data)] = []
+        data.append((len(data), text))
+    df = spark.createDataFrame(data, "id bigint, notes string")
+    assert {r.id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in personal.personal_data(df).collect()} == want
+
+
 def test_personal_data_query(spark):
     given = dict(listed(pins(table(spark, SF_DIR, "documents"))))
     for r in PLANS["op3_personal_data"](spark, SF_DIR).collect():
