@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tarnfell.llm.common import BLANKS, numbered, stored, text_of
 
-#: Lanes that tell how alike two fingerprints are, added modulo 2 ** 16.
+#: Lanes that tell how alike two fingerprints are, added modulo 2 ** 32; the written form has them modulo 2 ** 16.
 LANES = 64
 #: Lanes that tell whether two are equal, added modulo 2 ** 32.
 CHECKS = 4
@@ -24,7 +24,7 @@ def _counters(bits: Column) -> list[Column]:
 
 
 def _sums(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """One row per key with ``lanes_i`` (array<smallint>) and ``checks_i`` (array<bigint>) of each text column."""
+    """One row per key with ``lanes_i`` (array<int>) and ``checks_i`` (array<bigint>) of each text column."""
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), text_of(t).alias("text")) for i, t in enumerate(texts)])
     each = rows.select(*keys, F.explode_outer(kinds).alias("_t")).select(*keys, F.col("_t.kind").alias("_kind"), F.col("_t.text").alias("_text"))
     # Outer explosions: plain ones would split every text twice, the first time only to test for emptiness.
@@ -53,14 +53,14 @@ def _sums(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
             pair = F.col(f"_s{i}_{b // 2}")
             count = F.shiftrightunsigned(pair, 32) if b % 2 else pair.bitwiseAND(low)
             lanes.append(_centred(count * 2 - F.col(f"_n{i}")))
-        out += [F.array(*lanes).cast("array<smallint>").alias(f"lanes_{i}"),
+        out += [F.array(*lanes).cast("array<int>").alias(f"lanes_{i}"),
                 F.array(*[F.pmod(F.col(f"_c{i}_{k}"), F.lit(1 << 32)) for k in range(CHECKS)]).alias(f"checks_{i}")]
     return summed.select(*out)
 
 
 def _centred(value: Column) -> Column:
-    """Modulo 2 ** 16, from -2 ** 15 on."""
-    return F.pmod(value + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)
+    """Modulo 2 ** 32, from -2 ** 31 on."""
+    return F.pmod(value + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
 
 def written(lanes: Column, checks: Column) -> Column:
@@ -72,7 +72,7 @@ def written(lanes: Column, checks: Column) -> Column:
 
 def added(left: Column, right: Column, sign: int = 1) -> Column:
     """Lanes after paragraphs with the lanes ``right`` are inserted (sign 1) or deleted (sign -1)."""
-    return F.zip_with(left, right, lambda a, b: _centred(a.cast("long") + b.cast("long") * sign)).cast("array<smallint>")
+    return F.zip_with(left, right, lambda a, b: _centred(a.cast("long") + b.cast("long") * sign)).cast("array<int>")
 
 
 def checks_added(left: Column, right: Column, sign: int = 1) -> Column:
@@ -85,7 +85,7 @@ def likeness(left: Column, left_checks: Column, right: Column, right_checks: Col
 
     A lane sums one random sign per pair of neighbouring words, so products of
     lanes estimate how many word pairs the texts share (cosine of the counts,
-    give or take an eighth).
+    give or take an eighth; of texts up to 2 ** 31 words, where no lane wraps).
     """
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -101,12 +101,12 @@ def note_fingerprints(pins: DataFrame) -> DataFrame:
 
     ``pins`` has ``id`` and ``notes`` of saved pins. Every paragraph (line) is
     hashed to a wide vector: 4 numbers of the whole paragraph and 64 lanes from
-    its pairs of neighbouring words. Vectors are added, checks modulo 2 ** 32,
-    lanes modulo 2 ** 16, so the order of paragraphs does not matter, and
+    its pairs of neighbouring words. Vectors are added, checks and
+    lanes modulo 2 ** 32, so the order of paragraphs does not matter, and
     inserted or deleted paragraphs are added or taken away (``added``,
     ``checks_added``) without the rest of the text.
 
-    Returns one row per ``id``: ``lanes`` (array<smallint>), ``checks``
+    Returns one row per ``id``: ``lanes`` (array<int>), ``checks``
     (array<bigint>) and ``fingerprint`` (text). Null notes are empty notes, one
     empty paragraph. Rows that share an id (null is an id) are parts of one pin
     and add up. Extra columns are not carried; an empty table gives no rows.

@@ -96,6 +96,17 @@ def test_likeness_tells_edits_from_others(docs):
     assert (got.near_edited > 0.25).mean() > 0.95 and (got.near_next < 0.35).mean() > 0.9
 
 
+def test_likeness_of_repeated_passages(spark):
+    maker = random.Random(3)
+    passage = " ".join("".join(maker.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    df = spark.createDataFrame([(1, "\n".join([passage] * 10_000)), (2, "\n".join([passage] * 5_000))], "id bigint, notes string")
+    prints = fingerprints.note_fingerprints(df)
+    both = prints.alias("x").join(prints.alias("y"), F.expr("x.id = 1 and y.id = 2"))
+    near = both.select(fingerprints.likeness(F.col("x.lanes"), F.col("x.checks"), F.col("y.lanes"), F.col("y.checks")).alias("n"),
+                       fingerprints.likeness(fingerprints.added(F.col("y.lanes"), F.col("y.lanes")), F.col("x.checks"), F.col("x.lanes"), F.col("x.checks")).alias("twice")).first()
+    assert near.n == pytest.approx(1) and near.twice == 1
+
+
 # Mixing
 
 
