@@ -103,8 +103,12 @@ def first_register_places(raw: DataFrame, municipalities: DataFrame) -> DataFram
 # --------------------------------------------------------------- names
 
 def casefold(text: Column) -> Column:
-    """Caseless form. Upper case first, which spells out the sharp s, ligatures and the like and joins the two small sigmas."""
-    return F.lower(F.upper(text))
+    """Caseless form: upper case spells out the sharp s, ligatures and the like, then lower case of that.
+
+    The optimizer drops an upper case whose lower case is taken, so a step stands
+    between the two: final sigmas, of which upper case leaves none.
+    """
+    return F.replace(F.lower(F.replace(F.upper(text), F.lit("\u03c2"), F.lit("\u03c3"))), F.lit("\u03c2"), F.lit("\u03c3"))
 
 
 def ranked_names(spellings: Column, priority: Column) -> Column:
