@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import decontamination, fingerprints, licences, lines, mixing, pages, personal, quality, repeats, simhash
+from tarnfell.llm import (
+    alignment, collocations, decontamination, fingerprints, licences, lines, mixing, pages, personal, quality, repeats, sharding, simhash)
 from tarnfell.plans.registry import Plan
 from tarnfell.session import pin_utc
 from tarnfell.sources.tables import table
@@ -99,10 +100,57 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), F.coalesce(_held_out("id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes, equal texts together: documents as tiles of an offline store."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    tiles = table(spark, sf_dir, "documents").select(
+        F.lit(0).alias("server"), F.lit(0).alias("z"), F.col("doc_id").alias("x"), F.lit(0).alias("y"), text.alias("data"), F.crc32(text).alias("text_crc32"))
+    found = sharding.equal_archives(tiles, 8, keep=["text_crc32"])
+    return found.select(F.col("x").alias("doc_id"), F.col("bytes").alias("size"), "text_crc32", F.lit("bytes").alias("law"),
+                        F.col("archive").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Token groups and links of every document between two vocabularies."""
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(_hex(F.col("groups")))
+    found = alignment.aligned_notes(pins(table(spark, sf_dir, "documents")), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model",
+                                    shown={"groups_sha256": digest})
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language whose words attract each other most."""
+    strings = table(spark, sf_dir, "documents").select(F.col("lang").alias("locale"), F.col("text").alias("value"))
+    return collocations.collocations(strings).withColumnRenamed("locale", "lang")
+
+
 PLANS: dict[str, Plan] = {p.__name__: p for p in (
-    op1_fingerprints, op2_source_mix, op3_personal_data, op4_repeated_bytes, op5_line_dedup, op6_page_text, op7_license_scan, op8_simhash_groups, op9_benchmark_overlap, op10_quality)}
-#: Hash functions, floating-point training and clustering have no SQL form in the oracle's dialect.
-ORACLES: dict[str, str] = {}
+    op1_fingerprints, op2_source_mix, op3_personal_data, op4_repeated_bytes, op5_line_dedup, op6_page_text, op7_license_scan, op8_simhash_groups, op9_benchmark_overlap, op10_quality,
+    op11_archives, op12_token_alignment, op13_collocations)}
+_OP13 = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS ws FROM pieces),
+  phrases AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM (
+    SELECT lang, list_slice(ws, i, i + k - 1) AS p FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists), range(1, 6) AS t(k)
+    WHERE i + k - 1 <= len(ws)) GROUP BY 1, 2 HAVING count(*) >= 100),
+  totals AS (SELECT lang, sum(len(ws)) AS n FROM lists GROUP BY 1),
+  cuts AS (SELECT a.lang, a.p, a.f AS a, k, l.f AS l, r.f AS r, n, (1000 * a.f::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+    FROM phrases a JOIN totals USING (lang), range(1, 5) AS t(k), phrases l, phrases r
+    WHERE k < len(a.p) AND l.lang = a.lang AND l.p = a.p[1:k] AND r.lang = a.lang AND r.p = a.p[k + 1:len(a.p)]),
+  scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+  inner_parts AS (SELECT lang, f, list_slice(p, i, i + k - 1) AS p FROM phrases, range(2, 5) AS t(k), range(1, 5) AS u(i)
+    WHERE k < len(p) AND i + k - 1 <= len(p)),
+  covered AS (SELECT lang, p, max(f) AS longer FROM inner_parts GROUP BY 1, 2),
+  kept AS (SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored s LEFT JOIN covered c ON c.lang = s.lang AND c.p = s.p
+    WHERE c.longer IS NULL OR 100 * c.longer < 100 * s.a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+  FROM kept QUALIFY rank <= 2000"""
+#: Seeded hashes, floating-point training, clustering, tokenizers and bin packing have no SQL form in the oracle's dialect.
+ORACLES: dict[str, str] = {"op13_collocations": _OP13}
 
 
 def queries() -> dict[str, Plan]:
