@@ -19,7 +19,7 @@ from tarnfell.llm.common import stored
 #: Fixed value: the word pattern of the byte-level vocabulary.
 _WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text bytes that are encoded and merged together; a longer note is a batch of its own.
-_BATCH_BYTES = 3 << 20
+_BATCH_BYTES = 3 << 19
 #: A-tokens after which a long note may be entered once more.
 _STRIDE = 1024
 #: Bits of a token id in a packed pair.

@@ -18,7 +18,7 @@ from tarnfell.llm.common import stored
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _BLANKS = b" \t"
 #: Text bytes cut into words together; a longer string is a batch of its own.
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 2 << 20
 #: Bits of a filter of hashes, 8 MB whatever the input.
 FILTER_BITS = 1 << 26
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -130,7 +130,8 @@ def word_counts(strings: DataFrame, seed: int) -> DataFrame:
         for locales, texts in _slices(batches):
             number, names = _numbered(locales)
             words = Words(texts, seed)
-            first, n = _grouped([number[words.note], words.codes])
+            # A second code parts words of one code within the batch; between batches their texts do.
+            first, n = _grouped([number[words.note], words.codes, words._hashed(seed + (1 << 20))])
             yield pa.RecordBatch.from_arrays([
                 pa.array([names[i] for i in number[words.note[first]]], pa.string()), _signed(words.codes[first]),
                 pa.array([words.text(i) for i in first], pa.string()), pa.array(n)], ["locale", "code", "word", "n"])
@@ -140,43 +141,40 @@ def word_counts(strings: DataFrame, seed: int) -> DataFrame:
     return summed.select("locale", "code", "word", "n", (F.col("word") != F.col("_other")).alias("clash"))
 
 
-def _windows(words: Words, number: np.ndarray, longest: int, known: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Lead columns: at each word the codes of it and the next ones, and which of them are padding.
+def _windows(words: Words, shortest: int, longest: int, known: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Lead columns of windows of ``shortest`` words or more: where they start, the codes of their words, and which of them are padding.
 
     A window ends with its piece, before a word that isn't ``known``, or between two that no frequent pair joins.
     """
-    joined = np.zeros(len(words.codes), bool)
-    joined[:-1] = (words.piece[1:] == words.piece[:-1]) & (words.note[1:] == words.note[:-1]) & known[1:] & known[:-1]
+    joined = np.zeros(len(words.codes) + longest, bool)
+    inside = joined[:max(0, len(words.codes) - 1)]
+    inside[:] = (words.piece[1:] == words.piece[:-1]) & (words.note[1:] == words.note[:-1]) & known[1:] & known[:-1]
     if pairs is not None:
-        joined[:-1] &= _passes(pairs, _chained(words.codes[:-1], words.codes[1:]))
-    at = np.flatnonzero(joined)
-    columns, padded = [words.codes[at]], [np.zeros(len(at), bool)]
-    open_ = np.ones(len(at), bool)
+        inside &= _passes(pairs, _chained(words.codes[:-1], words.codes[1:]))
+    wide = np.logical_and.reduce([joined[k:len(words.codes) + k] for k in range(shortest - 1)])
+    at = np.flatnonzero(wide)
+    columns, padded, open_ = [words.codes[at]], [np.zeros(len(at), bool)], np.ones(len(at), bool)
     for step in range(1, longest):
-        open_ = open_ & joined[np.minimum(at + step - 1, len(joined) - 1)]
-        columns.append(np.where(open_, words.codes[np.minimum(at + step, len(joined) - 1)], np.uint64(0)))
+        open_ = open_ & joined[at + step - 1]
+        columns.append(words.codes[np.minimum(at + step, len(words.codes) - 1)])
         padded.append(~open_)
-    return number[words.note[at]], columns, padded
+    return at, columns, padded
 
 
-def window_counts(strings: DataFrame, seed: int, longest: int, words: Broadcast, pairs: Broadcast | None) -> DataFrame:
-    """``locale``, ``w1`` .. and ``n``: counts of the longest windows, padded with null where they end early."""
+def lead_windows(strings: DataFrame, seed: int, shortest: int, longest: int, words: Broadcast, pairs: Broadcast | None) -> DataFrame:
+    """``locale`` and ``w1`` ..: the longest window at every word, padded with null where it ends early."""
     names_of = [f"w{i + 1}" for i in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for locales, texts in _slices(batches):
             number, names = _numbered(locales)
             found = Words(texts, seed)
-            known = _passes(words.value, found.codes)
-            locale, columns, padded = _windows(found, number, longest, known, pairs.value if pairs else None)
-            # Padding has code 0; the number of padded columns tells it from a word of that code.
-            first, n = _grouped([locale, *columns, sum(p.astype(np.int64) for p in padded)])
+            at, columns, padded = _windows(found, shortest, longest, _passes(words.value, found.codes), pairs.value if pairs else None)
             yield pa.RecordBatch.from_arrays([
-                pa.array([names[i] for i in locale[first]], pa.string()),
-                *[pa.array(c[first].view(np.int64), mask=p[first]) for c, p in zip(columns, padded)], pa.array(n)],
-                ["locale", *names_of, "n"])
+                pa.array(names, pa.string()).take(pa.array(number[found.note[at]])),
+                *[pa.array(c.view(np.int64), mask=p) for c, p in zip(columns, padded)]], ["locale", *names_of])
 
-    return strings.mapInArrow(run, f"locale string, {', '.join(f'{w} bigint' for w in names_of)}, n bigint")
+    return strings.mapInArrow(run, f"locale string, {', '.join(f'{w} bigint' for w in names_of)}")
 
 
 def _pair_codes(pairs: DataFrame) -> DataFrame:
@@ -190,23 +188,21 @@ def _pair_codes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("words")[0].alias("w1"), F.col("words")[1].alias("w2")).mapInArrow(run, "code bigint")
 
 
-def prefix_sums(windows: DataFrame, longest: int, least: int) -> DataFrame:
-    """``locale``, ``words`` (codes) and ``f`` of every phrase of two words or more that occurs ``least`` times.
+def prefix_sums(windows: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
+    """``locale``, ``words`` (codes) and ``f`` of every phrase of ``shortest`` words or more that occurs ``least`` times.
 
-    ROLLUP over the columns of the longest windows sums them by successively
+    ROLLUP over the columns of the longest windows counts them by successively
     shorter prefixes: each occurrence of a phrase is the prefix of one window.
     """
     names = [f"w{i + 1}" for i in range(longest)]
-    rolled = windows.rollup(F.struct("locale", *names[:2]).alias("_head"), *names[2:]).agg(
-        F.sum("n").alias("f"), F.grouping_id().alias("_level"))
+    head, rest = names[:shortest], names[shortest:]
+    rolled = windows.rollup(F.struct("locale", *head).alias("_head"), *rest).agg(F.count("*").alias("f"), F.grouping_id().alias("_level"))
     # A level with j columns summed away has the grouping id 2 ** j - 1.
-    kept = F.lit(False)
-    words = F.array("_head.w1", "_head.w2", *names[2:])
-    for size in range(2, longest + 1):
-        whole = F.col("_level") == (1 << (longest - size)) - 1
-        kept = kept | (whole & F.col(names[size - 1] if size > 2 else "_head.w2").isNotNull())
-    return rolled.filter(kept & (F.col("f") >= least)).select(
-        F.col("_head.locale").alias("locale"), F.filter(words, lambda w: w.isNotNull()).alias("words"), "f")
+    kept = F.col("_level") == (1 << len(rest)) - 1
+    for size, name in enumerate(rest, 1):
+        kept = kept | ((F.col("_level") == (1 << (len(rest) - size)) - 1) & F.col(name).isNotNull())
+    words = F.filter(F.array(*[F.col(f"_head.{w}") for w in head], *rest), lambda w: w.isNotNull())
+    return rolled.filter(kept & (F.col("f") >= least)).select(F.col("_head.locale").alias("locale"), words.alias("words"), "f")
 
 
 def _scores(phrases: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -255,10 +251,10 @@ def collocations(strings: DataFrame, least: int = 100, longest: int = 5, top: in
     ``share`` percent of its occurrences, whether that one is kept or not.
 
     Method: top-order marginalisation. Only longest windows are counted, as
-    lead columns padded where they end; ROLLUP sums them by shorter prefixes. Run
-    once with windows of two, it gives the frequent pairs; then windows of
-    ``longest`` end where no frequent word or pair goes on, for no phrase that counts is
-    longer. Both kinds of frequent things are looked up in bit tables of 8 MB that
+    lead columns padded where they end; ROLLUP counts them by shorter prefixes. Run
+    once with windows of two, it gives the frequent pairs; then windows of three
+    to ``longest`` words end where no frequent word or pair goes on, for no phrase
+    that counts is longer. Both kinds of frequent things are looked up in bit tables of 8 MB that
     may let more through but stop none, so results are the same at any size.
     Words are 64-bit codes, checked to differ for different words, else coded anew.
 
@@ -276,11 +272,10 @@ def collocations(strings: DataFrame, least: int = 100, longest: int = 5, top: in
     totals = words.groupBy("locale").agg(F.sum("n").alias("n"))
     frequent = words.filter(F.col("n") >= least)
     known = code_filter(frequent.select("code"))
-    pairs = stored(prefix_sums(window_counts(strings, seed, 2, known, None), 2, least), "pair-counts")
-    phrases = pairs
+    pairs = phrases = stored(prefix_sums(lead_windows(strings, seed, 2, 2, known, None), 2, 2, least), "pair-counts")
     if longest > 2:
-        joined = code_filter(_pair_codes(pairs))
-        phrases = stored(prefix_sums(window_counts(strings, seed, longest, known, joined), longest, least), "phrase-counts")
+        windows = lead_windows(strings, seed, 3, longest, known, code_filter(_pair_codes(pairs)))
+        phrases = pairs.unionByName(stored(prefix_sums(windows, 3, longest, least), "phrase-counts"))
     single = frequent.select("locale", F.array("code").alias("words"), F.col("n").alias("f"))
     scored = _scores(phrases, phrases.unionByName(single), totals)
     kept = stored(scored.join(_covered(phrases, share), ["locale", "words"], "left_anti"), "phrase-scores")

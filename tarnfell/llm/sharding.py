@@ -228,8 +228,9 @@ def equal_archives(tiles: DataFrame, number: int, overhead: int = 1, keep: list[
     pieces, large = grouped.cut(max(1, grouped.total // _PIECES))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _falling(pd.concat(batches))
-        yield pd.DataFrame({"piece": rows["piece"], "archive": least_capacity(rows["bytes"].to_numpy(), number)})
+        if parts := list(batches):
+            rows = _falling(pd.concat(parts))
+            yield pd.DataFrame({"piece": rows["piece"], "archive": least_capacity(rows["bytes"].to_numpy(), number)})
 
     bins = stored(pieces.coalesce(1).mapInPandas(pack, "piece bigint, archive bigint"), "archive-pieces")
     return grouped.numbered(bins, large, True)
