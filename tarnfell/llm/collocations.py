@@ -123,18 +123,23 @@ def code_filter(codes: DataFrame) -> Broadcast:
     return codes.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
 
+def _word_rows(locales: list[str], texts: list[str | None], seed: int) -> pa.RecordBatch:
+    """``locale``, ``code``, ``word`` and ``n`` of the different words of a batch."""
+    number, names = _numbered(locales)
+    words = Words(texts, seed)
+    # A second code parts words of one code within the batch; between batches their texts do.
+    first, n = _grouped([number[words.note], words.codes, words._hashed(seed + (1 << 20))])
+    return pa.RecordBatch.from_arrays([
+        pa.array(names, pa.string()).take(pa.array(number[words.note[first]])), _signed(words.codes[first]),
+        pa.array([words.text(i) for i in first], pa.string()), pa.array(n)], ["locale", "code", "word", "n"])
+
+
 def word_counts(strings: DataFrame, seed: int) -> DataFrame:
     """``locale``, ``code``, ``word``, ``n`` of every word; ``clash`` if another word of the locale has its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for locales, texts in _slices(batches):
-            number, names = _numbered(locales)
-            words = Words(texts, seed)
-            # A second code parts words of one code within the batch; between batches their texts do.
-            first, n = _grouped([number[words.note], words.codes, words._hashed(seed + (1 << 20))])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([names[i] for i in number[words.note[first]]], pa.string()), _signed(words.codes[first]),
-                pa.array([words.text(i) for i in first], pa.string()), pa.array(n)], ["locale", "code", "word", "n"])
+            yield _word_rows(locales, texts, seed)
 
     found = strings.mapInArrow(run, "locale string, code bigint, word string, n bigint")
     summed = found.groupBy("locale", "code").agg(F.min("word").alias("word"), F.max("word").alias("_other"), F.sum("n").alias("n"))

@@ -296,11 +296,13 @@ def test_collocations_of_awkward_tables(spark):
     assert {tuple(r) for r in got} == plain_collocations([("en", text)], 100)
 
 
-def test_words_that_share_a_code_are_coded_anew(spark, monkeypatch):
+def test_words_that_share_a_code(monkeypatch):
     hashed = collocations.Words._hashed
-    monkeypatch.setattr(collocations.Words, "_hashed", lambda self, seed: hashed(self, seed) if seed else self.starts.astype(np.uint64) * np.uint64(0))
-    strings = spark.createDataFrame([("k", "sv", "one two")] * 3, "key string, locale string, value string").select("locale", "value")
-    assert not collocations.word_counts(strings, 0).filter("clash").isEmpty() and collocations.word_counts(strings, 1).filter("clash").isEmpty()
+    monkeypatch.setattr(collocations.Words, "_hashed", lambda self, seed: hashed(self, seed) if seed else np.zeros(len(self.starts), np.uint64))
+    got = collocations._word_rows(["sv", "sv"], ["one two one", None], 0)
+    assert sorted(zip(got.column("word").to_pylist(), got.column("n").to_pylist())) == [("one", 2), ("two", 1)]
+    assert set(got.column("code").to_pylist()) == {0}
+    assert len(set(collocations._word_rows(["sv"], ["one two one"], 1).column("code").to_pylist())) == 2
 
 
 def test_scores_beyond_64_bits(spark):
