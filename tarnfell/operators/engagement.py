@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfell.functions import fixed
+from tarnfell.operators.chains import followed
 from tarnfell.operators.ordered import next_value, previous_value, running_totals, time_chunk
 from tarnfell.operators.skew import join_groups, sized
 from tarnfell.session import cut_lineage
 
 ORDER = ["us", "event_id"]
+#: Microseconds of a chunk of a user's timeline.
+_CHUNK_US = 3_600 * 1_000_000
 
 
 def micros(ts: Column) -> Column:
@@ -78,30 +81,38 @@ def eligible_moments(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECOND
         "user_id", "event_id", "us", "app_version", "opens", "downloads", "measurements", enough.alias("eligible"))
 
 
+def _first_at_or_after(moments: DataFrame, later: Column, out: str) -> DataFrame:
+    """``moments`` with the first moment (``us``, ``event_id``, ``app_version``) of the user at or after the time ``later``.
+
+    Moments and the times asked for are put in one order, in which the next moment is the answer.
+    """
+    moment = F.struct("us", "event_id", "app_version", "changed")
+    asked = moments.select("user_id", later.alias("at"), F.lit(0).alias("kind"), F.col("event_id").alias("no"), F.struct(*moments.columns).alias("row"), F.lit(None).alias("hit"))
+    given = moments.select("user_id", F.col("us").alias("at"), F.lit(1).alias("kind"), F.col("event_id").alias("no"), F.lit(None).alias("row"), moment.alias("hit"))
+    both = asked.unionByName(given).withColumn("_chunk", F.floor(F.col("at") / _CHUNK_US).cast("long"))
+    found = next_value(both, ["user_id"], "_chunk", ["at", "kind", "no"], F.col("hit"), "_hit", skip_null=True)
+    return found.filter("kind = 0").select("row.*", F.col("_hit").alias(out))
+
+
 def prompts(moments: DataFrame, gap_days: float = fixed.PROMPT_GAP_DAYS) -> DataFrame:
     """Moments at which a prompt is shown: once per version, and not within the gap.
 
-    Each round finds every user's next prompt with one grouping and drops the
-    moments it rules out. There are at most as many rounds as gaps fit into the
-    log, and each is written before the next, so a lost executor costs a stage.
+    The prompt after a moment is a function of that moment alone: the first eligible one a gap later, or,
+    if that has the same version, the first after it with another. So every moment
+    names its successor, and the chain from the first moment is followed by pointer doubling.
     """
-    gap = F.lit(int(gap_days * 86_400 * 1_000_000))
-    moment = F.struct("us", "event_id", "app_version")
-    left = cut_lineage(moments.filter("eligible").select("user_id", "us", "event_id", "app_version"))
-    shown = None
-    number = 0
-    while not left.isEmpty():
-        number += 1
-        first = cut_lineage(sized(left, ["user_id"], "_n", F.min(moment).alias("m")).select(
-            "user_id", "_n", F.col("m.us").alias("_us"), F.col("m.event_id").alias("_id"), F.col("m.app_version").alias("_version")))
-        found = first.select("user_id", F.col("_id").alias("event_id"), F.col("_us").alias("us"),
-                             F.col("_version").alias("app_version"), F.lit(number).alias("number"))
-        shown = found if shown is None else shown.unionByName(found)
-        # Rows ruled out now stay ruled out only while this prompt is the last one: a version
-        # that was skipped can come back after another prompt, so only time drops rows here.
-        later = join_groups(left, first, ["user_id"], "_n").filter(F.col("us") >= F.col("_us") + gap)
-        same = F.col("app_version") == F.col("_version")
-        upcoming = sized(later, ["user_id"], "_n", F.min(F.when(~same, F.struct("us", "event_id"))).alias("_from"))
-        left = cut_lineage(join_groups(later, upcoming, ["user_id"], "_n").filter(F.struct("us", "event_id") >= F.col("_from"))
-                           .select("user_id", "us", "event_id", "app_version"))
-    return shown if shown is not None else left.withColumn("number", F.lit(0))
+    gap = int(gap_days * 86_400 * 1_000_000)
+    eligible = cut_lineage(moments.filter("eligible").select("user_id", "us", "event_id", "app_version").withColumn(
+        "_chunk", F.floor(F.col("us") / _CHUNK_US).cast("long")))
+    version = F.struct(F.col("app_version").alias("v"))
+    runs = previous_value(eligible, ["user_id"], "_chunk", ORDER, version, "_before")
+    changes = F.when(F.col("_before").isNotNull() & ~F.col("_before.v").eqNullSafe(F.col("app_version")), F.struct("us", "event_id"))
+    runs = next_value(runs, ["user_id"], "_chunk", ORDER, changes, "changed", skip_null=True)
+    linked = _first_at_or_after(runs.select("user_id", "us", "event_id", "app_version", "changed"), F.col("us") + gap, "_next")
+    node = F.struct("us", "event_id")
+    same = F.col("_next.app_version").eqNullSafe(F.col("app_version"))
+    following = F.when(same, F.col("_next.changed")).otherwise(F.struct("_next.us", "_next.event_id"))
+    pointers = linked.filter("_next is not null").select(F.col("user_id").alias("key"), node.alias("node"), following.alias("next"))
+    starts = eligible.groupBy(F.col("user_id").alias("key")).agg(F.min(node).alias("node"))
+    shown = followed(starts, pointers).select(F.col("key").alias("user_id"), "node.us", "node.event_id", F.col("number").cast("int").alias("number"))
+    return eligible.join(shown, ["user_id", "us", "event_id"]).select("user_id", "event_id", "us", "app_version", "number")

@@ -68,12 +68,15 @@ def previous_value(df: DataFrame, key: list[str], chunk: str, order: list[str],
     return joined.withColumn(out, F.coalesce("_near", "_carried")["v"]).drop("_near", "_carried")
 
 
-def next_value(df: DataFrame, key: list[str], chunk: str, order: list[str], value: Column, out: str) -> DataFrame:
-    """Value of the row after; null on the last row of a key."""
-    local = Window.partitionBy(*key, chunk).orderBy(*order)
+def next_value(df: DataFrame, key: list[str], chunk: str, order: list[str], value: Column, out: str,
+               skip_null: bool = False) -> DataFrame:
+    """Value of the row after (optionally the next non-null one); null where there is none."""
+    local = Window.partitionBy(*key, chunk).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     boxed = F.struct(value.alias("v"))
-    head = df.groupBy(*key, chunk).agg(F.min_by(boxed, F.struct(*order)).alias("_head"))
-    carried = head.select(*key, chunk, F.lead("_head").over(
-        Window.partitionBy(*key).orderBy(chunk)).alias("_carried"))
-    joined = df.withColumn("_near", F.lead(boxed).over(local)).join(carried, [*key, chunk])
+    usable = F.when(value.isNotNull(), boxed) if skip_null else boxed
+    head = df.groupBy(*key, chunk).agg(F.min_by(usable, F.when(usable.isNotNull(), F.struct(*order))).alias("_head"))
+    later = Window.partitionBy(*key).orderBy(chunk).rowsBetween(1, Window.unboundedFollowing)
+    carried = head.select(*key, chunk, F.first("_head", ignorenulls=True).over(later).alias("_carried"))
+    near = F.first(usable, ignorenulls=True).over(local)
+    joined = df.withColumn("_near", near).join(carried, [*key, chunk])
     return joined.withColumn(out, F.coalesce("_near", "_carried")["v"]).drop("_near", "_carried")

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tarnfell.functions import fixed, geo
 from tarnfell.operators.ordered import previous_value
+from tarnfell.session import materialised
 
 
 def _by_seq(*frame: int):
@@ -212,36 +213,90 @@ def _chosen(points: DataFrame, kept) -> DataFrame:
     return flagged.select("route_id", F.explode(chosen).alias("p")).select("route_id", "p.*")
 
 
-def simplified(points: DataFrame, tolerance_e5: float) -> DataFrame:
-    """Simplified line per route (Ramer-Douglas-Peucker, distance clamped to the segment); both ends stay.
+# Vertices of a span that are simplified in one go, as an array.
+_SPAN = 1_024
+
+
+def _offset(point: Column, a: Column, b: Column) -> Column:
+    """Plane distance of a vertex from the segment between two, clamped to its ends."""
+    px, py = (point["lon_e5"] - a["lon_e5"]).cast("double"), (point["lat_e5"] - a["lat_e5"]).cast("double")
+    dx, dy = (b["lon_e5"] - a["lon_e5"]).cast("double"), (b["lat_e5"] - a["lat_e5"]).cast("double")
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (px * dx + py * dy) / square))).otherwise(0.0)
+    return F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
 
-    Routes travel to Python as arrays, many in one Arrow batch.
-    """
+
+def _kept_of(tolerance_e5: float):
+    """Positions of the vertices of a short span that stay, both ends left out."""
 
     @F.pandas_udf("array<int>")
     def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
         def one(x: np.ndarray, y: np.ndarray) -> list[int]:
-            keep = {0, len(x) - 1}
-            spans = [(0, len(x) - 1)]
-            while spans:
-                lo, hi = spans.pop()
-                if hi - lo < 2:
+            keep: set[int] = set()
+            waiting = [(0, len(x) - 1)]
+            while waiting:
+                low, high = waiting.pop()
+                if high - low < 2:
                     continue
-                px, py = x[lo + 1:hi] - x[lo], y[lo + 1:hi] - y[lo]
-                dx, dy = x[hi] - x[lo], y[hi] - y[lo]
+                px, py = x[low + 1:high] - x[low], y[low + 1:high] - y[low]
+                dx, dy = x[high] - x[low], y[high] - y[low]
                 square = dx * dx + dy * dy
                 t = np.clip((px * dx + py * dy) / square, 0.0, 1.0) if square else np.zeros(len(px))
-                off = np.hypot(px - t * dx, py - t * dy)
-                worst = int(off.argmax())
-                if off[worst] > tolerance_e5:
-                    cut = lo + 1 + worst
-                    keep.add(cut)
-                    spans += [(lo, cut), (cut, hi)]
+                off = np.sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)
+                far = int(off.argmax())
+                if off[far] > tolerance_e5:
+                    keep.add(low + 1 + far)
+                    waiting += [(low, low + 1 + far), (low + 1 + far, high)]
             return sorted(keep)
 
         return pd.Series([one(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)])
 
-    return _chosen(points, kept)
+    return kept
+
+
+def simplified(points: DataFrame, tolerance_e5: float, span: int = _SPAN) -> DataFrame:
+    """Simplified line per route (farthest vertex of a span stays if it is off by more than the tolerance, and cuts the span in two); both ends stay.
+
+    Rounds over a table of spans: every vertex knows the span it lies in, the farthest of each span is found
+    by one grouping with partial aggregation, and spans that are near enough leave with their vertices. A span of at
+    most ``span`` vertices is finished at once, as an array of that many; a route that
+    holds a third of all vertices is a large span only, never an array.
+    """
+    vertex = F.struct("seq", "lat_e5", "lon_e5")
+    ends = materialised(points.groupBy("route_id").agg(F.min(vertex).alias("a"), F.max(vertex).alias("b"), F.count("*").alias("_n")), "route-ends")
+    kept = [ends.select("route_id", "a.*"), ends.filter("_n > 1").select("route_id", "b.*")]
+    inner = points.join(ends, "route_id").filter((F.col("seq") > F.col("a.seq")) & (F.col("seq") < F.col("b.seq")))
+    waiting = inner.select("route_id", vertex.alias("p"), "a", "b", (F.col("_n") - 2).alias("_n"))
+    short = []
+    while True:
+        waiting = materialised(waiting, "route-spans")
+        short.append(waiting.filter(F.col("_n") <= span))
+        large = waiting.filter(F.col("_n") > span)
+        if large.isEmpty():
+            break
+        off = _offset(F.col("p"), F.col("a"), F.col("b"))
+        # Of equally far vertices the first.
+        worst = large.groupBy("route_id", F.col("a.seq").alias("_from")).agg(
+            F.max(F.struct(off.alias("off"), (-F.col("p.seq")).alias("turn"), F.col("p").alias("cut"))).alias("w"))
+        cuts = materialised(worst.filter(F.col("w.off") > tolerance_e5).select("route_id", "_from", "w.cut"), "route-cuts")
+        kept.append(cuts.select("route_id", "cut.*"))
+        halves = large.withColumn("_from", F.col("a.seq")).join(cuts, ["route_id", "_from"]).filter(F.col("p.seq") != F.col("cut.seq"))
+        left = F.col("p.seq") < F.col("cut.seq")
+        halves = materialised(halves.select("route_id", "p", F.when(left, F.col("a")).otherwise(F.col("cut")).alias("a"),
+                                            F.when(left, F.col("cut")).otherwise(F.col("b")).alias("b")), "route-halves")
+        sizes = materialised(halves.groupBy("route_id", F.col("a.seq").alias("_from")).agg(F.count("*").alias("_n")), "route-sizes")
+        waiting = halves.withColumn("_from", F.col("a.seq")).join(sizes, ["route_id", "_from"]).drop("_from")
+    rest = short[0]
+    for more in short[1:]:
+        rest = rest.unionByName(more)
+    arrays = rest.groupBy("route_id", "a", "b").agg(F.sort_array(F.collect_list("p")).alias("_inner"))
+    arrays = arrays.select("route_id", F.concat(F.array("a"), "_inner", F.array("b")).alias("v"))
+    found = arrays.withColumn("_at", _kept_of(tolerance_e5)(F.col("v.lon_e5"), F.col("v.lat_e5")))
+    kept.append(found.select("route_id", F.explode(F.transform("_at", lambda i: F.col("v")[i])).alias("p")).select("route_id", "p.*"))
+    lines = kept[0]
+    for more in kept[1:]:
+        lines = lines.unionByName(more)
+    return lines.select("route_id", "seq", "lat_e5", "lon_e5")
 
 
 # --------------------------------------------------------------- edit log
@@ -250,21 +305,36 @@ def surviving_strokes(log: DataFrame) -> DataFrame:
     """Strokes left after replaying ``append`` / ``undo`` / ``clear`` per route.
 
     ``log(route_id, seq, op, size)``. Undo takes the last surviving stroke, like
-    a closing bracket, so survival needs running sums and minima only: a stroke
-    survives when the number of open strokes never falls below its own level
-    afterwards. Strokes of fewer than two points are not strokes.
+    a closing bracket; strokes of fewer than two points are not strokes. A stretch of
+    the log is summarised in two numbers, the undos left over and the strokes it leaves open. Such summaries
+    combine like brackets, so what follows a stretch is known from summaries alone:
+    a stroke survives unless the undos left over after it reach its depth. Windows run
+    inside stretches, and one summary row per stretch is ordered per route.
     """
-    last_clear = F.max(F.when(F.col("op") == "clear", F.col("seq"))).over(Window.partitionBy("route_id"))
-    live = (log.withColumn("_clear", last_clear)
-            .filter(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear")))
-            .filter((F.col("op") == "undo") | ((F.col("op") == "append") & (F.col("size") >= 2))))
-    delta = F.when(F.col("op") == "append", 1).otherwise(-1)
-    walked = live.withColumn("_sum", F.sum(delta).over(_by_seq(*_UP_TO)))
-    floor = F.least(F.min("_sum").over(_by_seq(*_UP_TO)), F.lit(0))
-    depth = walked.withColumn("_depth", F.col("_sum") - floor)
-    return (depth.withColumn("_lowest", F.min("_depth").over(_by_seq(*_FROM)))
-            .filter((F.col("op") == "append") & (F.col("_lowest") >= F.col("_depth")))
-            .select("route_id", "seq", "size"))
+    cut = log.withColumn("_stretch", F.floor(F.col("seq") / _STRETCH))
+    clears = cut.filter("op = 'clear'").groupBy("route_id").agg(F.max("seq").alias("_clear"))
+    live = cut.join(materialised(clears, "route-clears"), "route_id", "left").filter(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear")))
+    live = live.filter((F.col("op") == "undo") | ((F.col("op") == "append") & (F.col("size") >= 2))).drop("_clear")
+    step = F.when(F.col("op") == "append", 1).otherwise(-1)
+    inside = Window.partitionBy("route_id", "_stretch").orderBy("seq")
+    walked = live.withColumn("_sum", F.sum(step).over(inside.rowsBetween(*_UP_TO)))
+    lowest = F.least(F.min("_sum").over(inside.rowsBetween(*_UP_TO)), F.lit(0))
+    walked = materialised(walked.withColumn("_open", F.col("_sum") - lowest), "stroke-walks")
+    # Undos left over: how far the running sum falls below zero. Strokes open: what remains above its lowest point.
+    stretches = walked.groupBy("route_id", "_stretch").agg(
+        F.greatest(-F.min("_sum"), F.lit(0)).alias("_undos"), F.sum(step).alias("_total"))
+    stretches = materialised(stretches.withColumn("_strokes", F.col("_total") + F.col("_undos")), "stroke-stretches")
+    later = Window.partitionBy("route_id").orderBy("_stretch").rowsBetween(1, Window.unboundedFollowing)
+    # Undos that reach back over a run of stretches: its lowest running sum. From each stretch on, sums start at its own total.
+    up_to = F.sum("_total").over(Window.partitionBy("route_id").orderBy("_stretch").rowsBetween(*_UP_TO))
+    fallen = stretches.withColumn("_end", up_to).withColumn("_floor", F.col("_end") - F.col("_total") - F.col("_undos"))
+    fallen = fallen.withColumn("_reach", F.greatest(F.col("_end") - F.min("_floor").over(later), F.lit(0)))
+    known = materialised(fallen.select("route_id", "_stretch", F.coalesce("_reach", F.lit(0)).alias("_reach"), "_strokes"), "stroke-reach")
+    placed = walked.join(known, ["route_id", "_stretch"])
+    after = F.min("_open").over(inside.rowsBetween(*_FROM))
+    left = placed.withColumn("_lowest", after).filter((F.col("op") == "append") & (F.col("_lowest") >= F.col("_open")))
+    # ``_open`` is the stroke's depth among those its stretch leaves open.
+    return left.filter(F.col("_open") <= F.col("_strokes") - F.col("_reach")).select("route_id", "seq", "size")
 
 
 # --------------------------------------------------------------- catalogue checks
