@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 MASK = (1 << 64) - 1
@@ -95,41 +96,54 @@ def near_pins(pins, radius=2):
 # Lines
 
 
-def levenshtein(a, b):
-    while a and b and a[-1] == b[-1] and len(a) > 9_000:  # what both end or begin with doesn't count
-        k = next((k for k in (4096, 64, 1) if a[-k:] == b[-k:] and len(a) >= k <= len(b)))
-        a, b = a[:-k], b[:-k]
-    while a and b and a[0] == b[0] and len(a) > 9_000:
-        k = next((k for k in (4096, 64, 1) if a[:k] == b[:k] and len(a) >= k <= len(b)))
-        a, b = a[k:], b[k:]
-    row = list(range(len(b) + 1))
+def levenshtein(a, b, most=None):
+    """Edit distance; anything above ``most`` once it is passed."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    k = 0
+    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[:len(a) - k], b[:len(b) - k]
+    if not a or not b:
+        return len(a) + len(b)
+    letters, row = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(x)))])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        if most is not None and row.min() > most:
+            return most + 1
+    return int(row[-1])
 
 
-def line_simhash(line):
-    return majority([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(line.split(" "))])
+def near_lines(lines, similarity=0.8):
+    """All pairs of lines with the edit similarity; letters that one has and the other hasn't are a lower bound of the distance."""
+    bags, out = {x: Counter(x) for x in lines}, []
+    for i, a in enumerate(lines):
+        for b in lines[i + 1:]:
+            most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+            if abs(len(a) - len(b)) > most:
+                continue
+            if max((bags[a] - bags[b]).total(), (bags[b] - bags[a]).total()) <= most and levenshtein(a, b, most) <= most:
+                out.append((a, b))
+    return out
 
 
-def deduplicated_lines(pins, similarity=0.8, radius=3):
+def lines_of(pins):
+    """Places by line, in lower case without outer blanks."""
     places = defaultdict(list)
     for pin, notes in pins:
         for no, raw in enumerate((notes or "").split("\n")):
             if line := raw.lower().strip(" "):
                 places[line].append((pin, no))
-    lines, sims = sorted(places), {}
-    for line in lines:
-        sims[line] = line_simhash(line)
-    linked = []
-    for i, a in enumerate(lines):
-        for b in lines[i + 1:]:
-            longest = max(len(a), len(b))
-            if (sims[a] ^ sims[b]).bit_count() <= radius and levenshtein(a, b) <= int(longest * (1 - similarity) + 1e-9):
-                linked.append((a, b))
-    group, kept = groups(lines, linked), {}
+    return places
+
+
+def deduplicated_lines(pins, similarity=0.8):
+    places = lines_of(pins)
+    lines = sorted(places)
+    group, kept = groups(lines, near_lines(lines, similarity)), {}
     for line in lines:
         kept[group[line]] = min(min(places[line]), kept.get(group[line], min(places[line])))
     gone = {p for line in lines for p in places[line] if p != kept[group[line]]}
@@ -141,6 +155,7 @@ def deduplicated_lines(pins, similarity=0.8, radius=3):
     return out
 
 
+
 # Mixing
 
 
