@@ -88,25 +88,16 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[:bounds[-1]] if data is not None else np.zeros(0, np.uint8), bounds
 
 
-def _grams_of(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = _bytes_of(batch.column("notes"))
-            for _first, _count, gram, times in _runs(data, bounds, length):
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times)], names=["gram", "times"])
-    return run
-
-
 def _runs_of(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = _bytes_of(batch.column("notes"))
             rows = batch.column("_row").to_numpy()
-            for first, count, gram, _times in _runs(data, bounds, length):
+            for first, count, gram, times in _runs(data, bounds, length):
                 text = np.searchsorted(bounds, first, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[text]), pa.array(first - bounds[text]), pa.array(count), pa.array(gram)],
-                    names=["_row", "start", "count", "gram"])
+                    [pa.array(rows[text]), pa.array(first - bounds[text]), pa.array(count), pa.array(gram), pa.array(times)],
+                    names=["_row", "start", "count", "gram", "times"])
     return run
 
 
@@ -257,12 +248,12 @@ def without_repeats(pins: DataFrame, length: int = 200) -> DataFrame:
     if length < 64:
         raise ValueError("length must be at least 64")
     notes = numbered(pins.select("id", text_of("notes").alias("notes")), "notes")
-    grams = notes.select("notes").mapInArrow(_grams_of(length), "gram bigint, times int")
-    often = stored(grams.groupBy("gram").agg(F.sum("times").alias("_n")).filter("_n > 1"), "repeat-grams")
+    runs = stored(notes.select("_row", "notes").mapInArrow(
+        _runs_of(length), "_row bigint, start bigint, count bigint, gram bigint, times int"), "repeat-runs")
+    often = stored(runs.groupBy("gram").agg(F.sum("times").alias("_n")).filter("_n > 1"), "repeat-grams")
     total, most = often.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     shards = int(total) * (length + length // 2) // _SHARD + 1
-    runs = notes.select("_row", "notes").mapInArrow(_runs_of(length), "_row bigint, start bigint, count bigint, gram bigint")
-    dealt = runs.join(often, "gram").withColumn(
+    dealt = runs.drop("times").join(often, "gram").withColumn(
         "_salt", F.pmod(F.xxhash64("_row", "start"), F.ceil(F.col("_n") / _CAP).cast("long")))
     dealt = dealt.select("_row", F.struct(
         F.pmod(F.xxhash64("gram", "_salt"), F.lit(shards)).alias("shard"), (F.col("_n") > _CAP).alias("hot"), "start", "count").alias("_cut"))
