@@ -13,21 +13,21 @@ from pyspark.sql import functions as F
 
 from tarnfell.functions import fixed
 from tarnfell.operators.chains import followed
-from tarnfell.operators.ordered import next_value, previous_value, running_totals, time_chunk
+from tarnfell.operators.ordered import counted_chunks, next_value, previous_value, running_totals
 from tarnfell.operators.skew import join_groups, sized
-from tarnfell.session import cut_lineage
 
 ORDER = ["us", "event_id"]
-#: Microseconds of a chunk of a user's timeline.
-_CHUNK_US = 3_600 * 1_000_000
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def timed(events: DataFrame, chunk_seconds: int = 3_600) -> DataFrame:
-    return events.withColumn("us", micros(F.col("ts"))).withColumn("_chunk", time_chunk(F.col("ts"), chunk_seconds)).drop("ts")
+def timed(events: DataFrame) -> DataFrame:
+    """Events with ``us`` and ``_chunk``, a stretch of a user's timeline; given once, they stay."""
+    if "_chunk" in events.columns:
+        return events
+    return counted_chunks(events.withColumn("us", micros(F.col("ts"))).drop("ts"), ["user_id"], ORDER)
 
 
 def debounced(edits: DataFrame, gap_us: int) -> DataFrame:
@@ -67,7 +67,7 @@ def app_opens(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS) -> D
 def eligible_moments(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS) -> DataFrame:
     """Success events with the running counters and whether engagement is sufficient."""
     timeline = timed(events)
-    opens = app_opens(events, gap_seconds).filter("is_open").select("event_id", F.lit(1).alias("_open"))
+    opens = app_opens(timeline, gap_seconds).filter("is_open").select("event_id", F.lit(1).alias("_open"))
     flagged = timeline.join(opens, "event_id", "left")
     measured = (F.col("kind") == "measurement") & (F.col("meters") >= fixed.MIN_MEASUREMENT_M)
     downloaded = F.col("kind") == "download_complete"
@@ -89,7 +89,7 @@ def _first_at_or_after(moments: DataFrame, later: Column, out: str) -> DataFrame
     moment = F.struct("us", "event_id", "app_version", "changed")
     asked = moments.select("user_id", later.alias("at"), F.lit(0).alias("kind"), F.col("event_id").alias("no"), F.struct(*moments.columns).alias("row"), F.lit(None).alias("hit"))
     given = moments.select("user_id", F.col("us").alias("at"), F.lit(1).alias("kind"), F.col("event_id").alias("no"), F.lit(None).alias("row"), moment.alias("hit"))
-    both = asked.unionByName(given).withColumn("_chunk", F.floor(F.col("at") / _CHUNK_US).cast("long"))
+    both = counted_chunks(asked.unionByName(given), ["user_id"], ["at", "kind", "no"])
     found = next_value(both, ["user_id"], "_chunk", ["at", "kind", "no"], F.col("hit"), "_hit", skip_null=True)
     return found.filter("kind = 0").select("row.*", F.col("_hit").alias(out))
 
@@ -102,8 +102,7 @@ def prompts(moments: DataFrame, gap_days: float = fixed.PROMPT_GAP_DAYS) -> Data
     names its successor, and the chain from the first moment is followed by pointer doubling.
     """
     gap = int(gap_days * 86_400 * 1_000_000)
-    eligible = cut_lineage(moments.filter("eligible").select("user_id", "us", "event_id", "app_version").withColumn(
-        "_chunk", F.floor(F.col("us") / _CHUNK_US).cast("long")))
+    eligible = counted_chunks(moments.filter("eligible").select("user_id", "us", "event_id", "app_version"), ["user_id"], ORDER)
     version = F.struct(F.col("app_version").alias("v"))
     runs = previous_value(eligible, ["user_id"], "_chunk", ORDER, version, "_before")
     changes = F.when(F.col("_before").isNotNull() & ~F.col("_before.v").eqNullSafe(F.col("app_version")), F.struct("us", "event_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnfell.operators import documents as ops
-from tarnfell.operators.ordered import time_chunk
+from tarnfell.operators.ordered import counted_chunks
 from tarnfell.plans.registry import query
 from tarnfell.session import scratch_path
 from tarnfell.sources import documents as docs
@@ -100,8 +100,8 @@ _TIMELINE = """SELECT user_id % 3 AS channel, event_id, ts, CASE WHEN event_type
 @query("J14_configuration_in_effect", f"""SELECT channel, event_id, coalesce(last_value(CASE WHEN valid THEN version END IGNORE NULLS) OVER (PARTITION BY channel
   ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '1.0') AS in_effect FROM ({_TIMELINE.format(events='events')})""")
 def j14(spark, sf):
-    timeline = spark.sql(_TIMELINE, events=table(spark, sf, "events")).withColumn("chunk", time_chunk(F.col("ts")))
-    found = ops.configuration_in_effect(timeline, "channel", ["ts", "event_id"], "chunk", "1.0")
+    timeline = counted_chunks(spark.sql(_TIMELINE, events=table(spark, sf, "events")), ["channel"], ["ts", "event_id"])
+    found = ops.configuration_in_effect(timeline, "channel", ["ts", "event_id"], "_chunk", "1.0")
     return found.select("channel", "event_id", "in_effect")
 
 

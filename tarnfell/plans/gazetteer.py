@@ -139,9 +139,9 @@ SQL_ALIASES = SQL_NAMES + f""", aliases AS (SELECT {fixed.ALIAS_OFFSET} + row_nu
     AS alias_id, place_id, written AS name, lang FROM names WHERE position > 0)"""
 
 
-def spelled_places(spark, sf):
-    """Places with their ranked names as one array."""
-    part = table(spark, sf, "part").selectExpr(
+def _spellings(spark, sf):
+    """Places with their spellings as one array, as the second register nests them."""
+    return table(spark, sf, "part").selectExpr(
         "p_partkey + 1 AS place_id",
         """array(
           named_struct('name_status', 'hovednavn', 'language', 'norsk', 'spelling_status', 'godkjent', 'written', p_name),
@@ -150,7 +150,11 @@ def spelled_places(spark, sf):
           named_struct('name_status', 'historisk', 'language', 'norsk', 'spelling_status', 'avslått', 'written', concat('old ', p_type))
         ) AS spellings""",
         "CASE p_size % 3 WHEN 0 THEN 'nordsamisk-norsk' WHEN 1 THEN 'norsk-kvensk' ELSE NULL END AS priority")
-    return part.select("place_id", ops.ranked_names(F.col("spellings"), F.col("priority")).alias("names"))
+
+
+def spelled_places(spark, sf):
+    """Places with their ranked names as one array."""
+    return _spellings(spark, sf).select("place_id", ops.ranked_names(F.col("spellings"), F.col("priority")).alias("names"))
 
 
 @query("A13_name_choice", cte("graded", "spellings") + ", " + SQL_ALIASES + """
@@ -163,15 +167,19 @@ def a13(spark, sf):
     return shown.unionByName(ops.alias_rows(named).select(*shown.columns))
 
 
-@query("U1_combined_registers", cte("register", "graded") + """SELECT country, native_id,
-  row_number() OVER (ORDER BY country, native_id) AS place_id FROM (
-    SELECT 0 AS country, native_id FROM fx_register WHERE ortnamn IS NOT NULL AND ortnamn <> '' AND detaljtyp <> 'TRAKTTX'
-    UNION ALL SELECT 1, native_id FROM fx_graded WHERE main_group NOT IN ('infrastruktur', 'offentligAdministrasjon'))""")
+@query("U1_combined_registers", cte("register", "graded", "spellings") + ", " + SQL_NAMES + """, shown AS (
+    SELECT place_id, max(CASE WHEN position = 0 THEN written END) AS name, count(*) AS n_names FROM names GROUP BY 1)
+  SELECT country, native_id, row_number() OVER (ORDER BY country, native_id) AS place_id, name, n_names FROM (
+    SELECT 0 AS country, native_id, trim(ortnamn) AS name, 1 AS n_names FROM fx_register
+      WHERE ortnamn IS NOT NULL AND trim(ortnamn) <> '' AND detaljtyp <> 'TRAKTTX'
+    UNION ALL SELECT 1, native_id, name, n_names FROM fx_graded JOIN shown ON shown.place_id = native_id
+      WHERE coalesce(main_group, '') NOT IN ('infrastruktur', 'offentligAdministrasjon'))""")
 def u1(spark, sf):
-    first = ops.first_register_places(view(spark, sf, "register"), _municipalities(spark, sf)).select("country", "native_id")
-    second = (view(spark, sf, "graded").filter(~F.col("main_group").isin(fixed.SECOND_REGISTER_SKIP_GROUPS))
-              .select(F.lit(fixed.NORWAY).alias("country"), "native_id"))
-    return ops.combined(first, second).select("country", "native_id", "place_id")
+    first = ops.first_register_places(view(spark, sf, "register"), _municipalities(spark, sf))
+    second = ops.second_register_places(view(spark, sf, "graded").join(_spellings(spark, sf).select(F.col("place_id").alias("native_id"), "spellings"), "native_id"))
+    both = [df.select("country", "native_id", "names") for df in (first, second)]
+    return ops.combined(*both).select("country", "native_id", "place_id", F.col("names")[0]["written"].alias("name"),
+                                      F.size("names").cast("long").alias("n_names"))
 
 
 @query("A9_interned_attributes", cte("places") + """, seen AS (SELECT country, adm, region, min(place_id) AS first_seen

@@ -127,3 +127,16 @@ def test_strokes_across_stretches(spark, monkeypatch, stretch):
             stack.append((route, seq, size))
     df = spark.createDataFrame(log, "route_id long, seq long, op string, size int").repartition(3)
     assert sorted(tuple(r) for r in routes.surviving_strokes(df).collect()) == sorted(s for stack in stacks.values() for s in stack)
+
+
+def test_chunks_by_count(spark):
+    rows = [(7, 5, i) for i in range(4_000)] + [(i % 300, i, i) for i in range(8_000)] + [(None, 1, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "user_id long, us long, event_id long").repartition(6)
+    got = ordered.counted_chunks(df, ["user_id"], ["us", "event_id"], rows=500)
+    assert got.groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 1_500
+    assert got.groupBy("user_id", "_chunk").count().filter("user_id = 7").count() >= 4
+    last = {}
+    for r in sorted(got.collect(), key=lambda r: (-1 if r.user_id is None else r.user_id, r.us, r.event_id)):
+        assert last.get(r.user_id, -1) <= r._chunk
+        last[r.user_id] = r._chunk
+    assert got.count() == len(rows) and ordered.counted_chunks(df.limit(0), ["user_id"], ["us"]).count() == 0
