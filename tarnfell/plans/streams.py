@@ -12,7 +12,7 @@ from tarnfell.plans.routes import _LOG
 from tarnfell.plans.telemetry import SQL_BUCKET
 from tarnfell.session import scratch_path
 from tarnfell.sources import documents as docs
-from tarnfell.sources.tables import is_folder, table
+from tarnfell.sources.tables import is_folder, remove_folder, table
 from tarnfell.sources.views import VIEWS, cte
 from tarnfell.streaming import metrics, sinks, stateful
 
@@ -77,14 +77,31 @@ def m5s(spark, sf):
     return sinks.latest_state(drained(spark, stateful.stroke_logs(log), "m5", "update"), ["route_id"])
 
 
-@query("M6_document_feed", """SELECT id, write_id, metres FROM (SELECT concat('r', o_custkey) AS id, o_orderkey AS write_id, o_totalprice AS metres, row_number() OVER
-  (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
+#: Files of the feed, and which of them are deleted, or rewritten with the writes since the day.
+_FEED_FILES, _FEED_DAY = 20, "1997-01-01"
+_FEED_GONE, _FEED_AGAIN = "file % 5 = 0", "file % 3 = 1"
+
+
+@query("M6_document_feed", f"""SELECT id, write_id, metres FROM (SELECT concat('r', o_custkey) AS id, o_orderkey AS write_id, o_totalprice AS metres, row_number() OVER
+  (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM (SELECT *, o_custkey % {_FEED_FILES} AS file FROM orders)
+  WHERE NOT ({_FEED_GONE}) AND ({_FEED_AGAIN} OR o_orderdate < DATE '{_FEED_DAY}')) WHERE rn = 1""")
 def m6(spark, sf):
-    path = scratch_path(spark, "feed")
-    table(spark, sf, "orders").selectExpr(
+    path, log = scratch_path(spark, "feed"), scratch_path(spark, "feed-log")
+    writes = table(spark, sf, "orders").selectExpr(
         "concat('r', o_custkey) AS id", "cast(o_orderdate AS timestamp) AS createdAt", "o_totalprice AS meters",
-        "cast(o_orderkey AS int) AS schemaVersion").write.json(path)
-    stream = docs.document_stream(spark, path, docs.SAVED_ROUTE, multi_line=False).select("id", "createdAt", "schemaVersion", "meters")
-    changes = drained(spark, stream, "m6", "append")
-    current = document_ops.latest_per_id(changes, "id", ["createdAt", "schemaVersion"])
+        "cast(o_orderkey AS int) AS schemaVersion", f"o_custkey % {_FEED_FILES} AS file")
+
+    def put(rows: DataFrame) -> None:
+        """Write files anew, and only those that have rows."""
+        rows.hint("rebalance", "file").write.partitionBy("file").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+
+    put(writes.filter(f"createdAt < '{_FEED_DAY}'"))
+    docs.poll(spark, path, docs.SAVED_ROUTE, log, 0, multi_line=False)
+    put(writes.filter(_FEED_AGAIN))
+    for file in range(_FEED_FILES):
+        if file % 5 == 0:
+            remove_folder(spark, f"{path}/file={file}")
+    docs.poll(spark, path, docs.SAVED_ROUTE, log, 1, multi_line=False)
+    current = document_ops.latest_per_id(
+        docs.fed_documents(spark, docs.SAVED_ROUTE, log).select("id", "createdAt", "schemaVersion", "meters"), "id", ["createdAt", "schemaVersion"])
     return current.select("id", F.col("schemaVersion").cast("long").alias("write_id"), F.col("meters").alias("metres"))

@@ -12,6 +12,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return files.exists(where) and files.getFileStatus(where).isDirectory()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what it holds, on any file system; one that isn't there is left alone."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -53,6 +53,29 @@ def test_rewritten_and_deleted_documents(spark, tmp_path):
     assert [os.path.basename(r["path"]) for r in deleted.collect()] == ["a.json"]
 
 
+def test_feed_of_polls(spark, tmp_path):
+    folder, log = tmp_path / "docs", str(tmp_path / "log")
+    folder.mkdir()
+
+    def polled(number):
+        documents.poll(spark, str(folder), documents.SAVED_ROUTE, log, number)
+        found = documents.fed_documents(spark, documents.SAVED_ROUTE, log).collect()
+        return sorted((r["id"], r["meters"]) for r in found)
+
+    assert polled(0) == []
+    for name in ("a.json", "b.json", "c.json"):
+        _save(folder, name, 1.0, indent=2)
+    assert polled(1) == [("a", 1.0), ("b", 1.0), ("c", 1.0)]
+    _save(folder, "b.json", 99.25)
+    (folder / "d.json").write_text("{ no document")
+    (folder / "a.json").unlink()
+    assert polled(2) == polled(2) == [("b", 99.25), ("c", 1.0)]  # a poll may be run again
+    _save(folder, "a.json", 5.0)
+    (folder / "d.json").unlink()
+    assert polled(3) == polled(4) == [("a", 5.0), ("b", 99.25), ("c", 1.0)]
+    assert spark.read.parquet(f"{log}/documents").filter("batch_id > 2").count() == 1  # nothing is read twice
+
+
 def test_indented_documents_stream(spark, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
