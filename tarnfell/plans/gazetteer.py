@@ -238,13 +238,17 @@ def a12(spark, sf):
     return ops.doomed_places(places, ops.clusters(places))
 
 
-@query("A10_build_summary", cte("places", "graded", "spellings") + f", {SQL_CLUSTERS}, {SQL_ALIASES}" + """,
+_SQL_KEPT = """
   kept AS (SELECT * FROM fx_places WHERE place_id NOT IN (SELECT place_id FROM doomed)),
-  kept_aliases AS (SELECT * FROM aliases WHERE place_id NOT IN (SELECT place_id FROM doomed))
+  kept_aliases AS (SELECT * FROM aliases WHERE place_id NOT IN (SELECT place_id FROM doomed))"""
+_SQL_SUMMARY = """
   SELECT 'places' AS key, (SELECT count(*) FROM kept) AS value UNION ALL SELECT 'places_se', count(*) FROM kept WHERE country = 0
   UNION ALL SELECT 'places_no', count(*) FROM kept WHERE country = 1 UNION ALL SELECT 'coord_scale', 100000
   UNION ALL SELECT 'aliases', count(*) FROM kept_aliases UNION ALL SELECT 'removed', count(*) FROM doomed
-  UNION ALL SELECT 'names', (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_aliases)""")
+  UNION ALL SELECT 'names', (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_aliases)"""
+
+
+@query("A10_build_summary", cte("places", "graded", "spellings") + f", {SQL_CLUSTERS}, {SQL_ALIASES}, {_SQL_KEPT} {_SQL_SUMMARY}")
 def a10(spark, sf):
     places = view(spark, sf, "places")
     doomed = ops.doomed_places(places, ops.clusters(places))
@@ -296,20 +300,21 @@ def s2(spark, sf):
                         F.size("names").alias("n_names"), F.col("names")[0]["written"].alias("display"))
 
 
-@query("S11_bundle_sink", cte("places", "graded", "spellings") + f", {SQL_CLUSTERS}, {SQL_ALIASES}" + r""",
-  kept AS (SELECT * FROM fx_places WHERE place_id NOT IN (SELECT place_id FROM doomed)),
-  kept_aliases AS (SELECT * FROM aliases WHERE place_id NOT IN (SELECT place_id FROM doomed)),
+@query("S11_bundle_sink", cte("places", "graded", "spellings") + f", {SQL_CLUSTERS}, {SQL_ALIASES}, {_SQL_KEPT}" + r""",
   named AS (SELECT place_id AS owner_id, name FROM kept UNION ALL SELECT alias_id, name FROM kept_aliases),
-  terms AS (SELECT DISTINCT owner_id, unnest(string_split_regex(strip_accents(lower(name)), '[^\p{L}\p{N}]+')) AS term FROM named)
-  SELECT 'place' AS part, (SELECT count(*) FROM kept) AS n, (SELECT CAST(sum(place_id) AS BIGINT) FROM kept) AS key_sum
-  UNION ALL SELECT 'alias', count(*), CAST(sum(alias_id) AS BIGINT) FROM kept_aliases
-  UNION ALL SELECT 'municipality', count(DISTINCT (country, adm, region)), CAST(count(DISTINCT (country, adm, region)) * (count(DISTINCT (country, adm, region)) + 1) / 2 AS BIGINT) FROM fx_places
-  UNION ALL SELECT 'language', count(DISTINCT lang), CAST(count(DISTINCT lang) * (count(DISTINCT lang) + 1) / 2 AS BIGINT) FROM aliases
-  UNION ALL SELECT 'term', count(*), CAST(sum(owner_id) AS BIGINT) FROM terms WHERE term <> ''
-  UNION ALL SELECT 'meta', 7, NULL""")
+  terms AS (SELECT DISTINCT owner_id, unnest(string_split_regex(strip_accents(lower(name)), '[^\p{L}\p{N}]+')) AS term FROM named),
+  munis AS (SELECT *, row_number() OVER (ORDER BY seen) AS muni FROM (SELECT country, adm, region, min(place_id) AS seen FROM fx_places GROUP BY ALL)),
+  langs AS (SELECT *, row_number() OVER (ORDER BY seen) AS lang_id FROM (SELECT lang, min(alias_id) AS seen FROM aliases GROUP BY ALL))
+  SELECT 'place' AS part, CAST(place_id AS BIGINT) AS key, concat_ws('|', kind, rank, lat_e5, lon_e5, country, muni, name) AS content
+    FROM kept JOIN munis USING (country, adm, region)
+  UNION ALL SELECT 'alias', alias_id, concat_ws('|', place_id, name, lang_id) FROM kept_aliases JOIN langs USING (lang)
+  UNION ALL SELECT 'municipality', muni, concat_ws('|', country, adm, region) FROM munis
+  UNION ALL SELECT 'language', lang_id, lang FROM langs
+  UNION ALL SELECT 'term', owner_id, term FROM terms WHERE term <> ''
+  UNION ALL SELECT 'meta', 0, concat_ws('|', key, value) FROM (""" + f"{_SQL_SUMMARY})")
 def s11(spark, sf):
     places = view(spark, sf, "places")
     doomed = ops.doomed_places(places, ops.clusters(places))
     path = scratch_path(spark, "bundle")
     bundle.write_bundle(places, ops.alias_rows(spelled_places(spark, sf)), doomed, path)
-    return bundle.bundle_counts(spark, path)
+    return bundle.bundle_rows(bundle.read_bundle(spark, path))

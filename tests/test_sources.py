@@ -114,3 +114,19 @@ def test_a_long_track_is_cut_into_stretches(spark, monkeypatch):
     assert legs.agg(F.max("travelled")).first()[0] == pytest.approx(whole.metres)
     assert legs.filter("is_last").count() == 1 and legs.filter("lat0 is null").count() == 1
     assert routes.distance_markers(track, 1000.0).count() == int(whole.metres // 1000)
+
+
+def test_bundle_without_manifest_is_not_read(spark, tmp_path):
+    from tarnfell.sources import bundle
+    place = "place_id bigint, kind int, rank int, lat_e5 int, lon_e5 int, country int, adm string, region string, name string"
+    places = spark.createDataFrame([(1, 1, 1, 6000000, 1500000, 0, "A", "R", "Storvik"), (2, 1, 2, 6100000, 1500000, 1, "B", None, "Ås")], place)
+    aliases = spark.createDataFrame([(100, 1, "Vik", "norsk")], "alias_id bigint, place_id bigint, name string, lang string")
+    path = str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        bundle.read_bundle(spark, path)
+    bundle.write_bundle(places, aliases, spark.createDataFrame([], "place_id bigint"), path)
+    found = {(r["part"], r["key"], r["content"]) for r in bundle.bundle_rows(bundle.read_bundle(spark, path)).collect()}
+    assert ("place", 2, "1|2|6100000|1500000|1|2|Ås") in found and ("alias", 100, "1|Vik|1") in found
+    bundle.read_bundle(spark, path)["term"].limit(1).write.mode("append").parquet(f"{path}/term")
+    with pytest.raises(ValueError, match="term"):
+        bundle.read_bundle(spark, path)
