@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +55,38 @@ def m2(spark, sf):
     return drained(spark, metrics.windowed_metrics(view_stream(spark, sf, "requests")), "m2", "append")
 
 
-@query("M3_open_sessions", cte("app_events") + f", {SQL_MACHINE} SELECT user_id, event_id, us, is_open FROM machine WHERE kind = 'active'")
+#: Polls that the events come in, and how many seconds late an event comes at most.
+_POLLS, _LATE_SECONDS = 4, 86_400
+#: What the watermark has passed at the end; the stream has it in milliseconds.
+_PASSED = f"us <= (SELECT max(epoch_ms(ts)) - {_LATE_SECONDS * 1000} FROM fx_app_events) * 1000"
+
+
+def fed_late(spark: SparkSession, sf: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream emits of a view whose events come late, up to ``_LATE_SECONDS``, and so in mixed order over several polls."""
+    events, base = table(spark, sf, "events"), scratch_path(spark, "late")
+    delay = F.pmod(F.hash("event_id"), F.lit(_LATE_SECONDS)).cast("long") * 1_000_000
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + delay
+    first, last = events.select(F.min(arrival), F.max(arrival)).first()
+    first, last = first or 0, last or 0
+    poll = F.least(F.floor((arrival - F.lit(first)) / F.lit(max(last - first, 1)) * _POLLS), F.lit(_POLLS - 1))
+    for number in range(_POLLS):
+        events.filter(poll == number).write.mode("append").parquet(f"{base}/in")
+        given = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        stream = build(spark.sql(VIEWS[name], events=given))
+        sinks.drain(stream, f"{base}/rows", f"{base}/checkpoint", "append")
+    return sinks.emitted(spark, f"{base}/rows", stream.schema).drop("batch_id")
+
+
+@query("M3_open_sessions", cte("app_events") + f", {SQL_MACHINE} SELECT user_id, event_id, us, is_open FROM machine WHERE kind = 'active' AND {_PASSED}")
 def m3(spark, sf):
     sinks.use_rocksdb(spark)
-    return drained(spark, stateful.open_sessions(view_stream(spark, sf, "app_events")), "m3", "append")
+    return fed_late(spark, sf, "app_events", lambda s: stateful.open_sessions(s, lateness=f"{_LATE_SECONDS} seconds"))
 
 
-@query("M4_prompt_machine", cte("app_events") + f", {SQL_MACHINE} SELECT user_id, event_id, us, app_version, number FROM machine WHERE prompted")
+@query("M4_prompt_machine", cte("app_events") + f", {SQL_MACHINE} SELECT user_id, event_id, us, app_version, number FROM machine WHERE prompted AND {_PASSED}")
 def m4(spark, sf):
     sinks.use_rocksdb(spark)
-    return drained(spark, stateful.prompt_machine(view_stream(spark, sf, "app_events"), PROMPT_GAP_DAYS), "m4", "append")
+    return fed_late(spark, sf, "app_events", lambda s: stateful.prompt_machine(s, PROMPT_GAP_DAYS, lateness=f"{_LATE_SECONDS} seconds"))
 
 
 @query("M5_stroke_stream", f"""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS i FROM ({_LOG.format(events='events')})),

@@ -1,117 +1,196 @@
 """Keyed state machines over event streams.
 
 Each processor is built inside a function with its parameters; the package must
-be on the workers' path. A user's rows of one micro-batch are put in order before they are
-applied; the trigger bounds how many that can be. Batches must arrive in time
-order, as the log they come from does: a row from before the last batch of its
-key ends the stream with an error instead of a wrong count.
+be on the workers' path.
+
+Files may come in any order. Events of a user wait in the state until the watermark has passed
+them and are then applied in the order of ``(us, event_id)``, so that what the stream gives is what the
+whole log gives up to the watermark. The state holds a user's events of the time allowed for lateness,
+not the log. An event from before the watermark is dropped, as in any watermarked query; one without a time has no place in
+the order and is left out. Stroke logs are numbered, not timed: there a row from before the last batch of
+its route ends the stream with an error instead of a wrong count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tarnfell.functions import fixed
-from tarnfell.operators.engagement import micros
+from tarnfell.operators.engagement import ORDER, micros
 
-EVENT_COLUMNS = ["user_id", "event_id", "us", "kind", "meters", "app_version"]
+HELD_SCHEMA = "us long, event_id long, kind string, meters double, app_version string"
+HELD_COLUMNS = ["us", "event_id", "kind", "meters", "app_version"]
 OPENS_SCHEMA = "user_id long, event_id long, us long, is_open boolean"
 PROMPTS_SCHEMA = "user_id long, event_id long, us long, app_version string, number int"
 STROKES_SCHEMA = "route_id long, n_strokes int, n_vertices int, last_seq long"
-
-
-def in_order(rows: Iterator[pd.DataFrame], order: list[str], last: int | None) -> pd.DataFrame:
-    """A key's rows of one batch by ``order``; an error if they begin before ``last``, where the batch before ended."""
-    batch = pd.concat(list(rows)).sort_values(order)
-    if last is not None and len(batch) and batch[order[0]].iloc[0] < last:
-        raise ValueError(f"rows out of order: {order[0]} {batch[order[0]].iloc[0]} after {last}; give the stream older files first")
-    return batch
-
-
-def _prepared(events: DataFrame) -> DataFrame:
-    return events.withColumn("us", micros(F.col("ts"))).select(*EVENT_COLUMNS)
-
-
-def open_sessions(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS) -> DataFrame:
-    """Activations and whether each counts as an app open."""
-    gap_us = gap_seconds * 1_000_000
-
-    class Opens(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("lifecycle", "launched boolean, background_us long, last_us long")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            launched, background, last = self.state.get() if self.state.exists() else (False, None, None)
-            batch = in_order(rows, ["us", "event_id"], last)
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.kind == "background":
-                    background = int(row.us)
-                elif row.kind == "active":
-                    if not launched:
-                        launched, opened = True, True
-                    else:
-                        opened = background is not None and row.us - background >= gap_us
-                        background = None
-                    out.append((key[0], row.event_id, row.us, opened))
-            self.state.update((launched, background, int(batch["us"].iloc[-1])))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "is_open"])
-
-        def close(self) -> None:
-            pass
-
-    return _prepared(events).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Opens(), outputStructType=OPENS_SCHEMA, outputMode="Append", timeMode="None")
+#: How much later than the latest event seen so far an event may come.
+LATENESS = "1 day"
+
+
+class TimeOrdered(StatefulProcessor):
+    """A machine whose events wait for the watermark; subclasses say what a stretch of ordered events does.
+
+    A timer is set for a user's earliest waiting event. When the watermark has passed it, everything due is taken
+    out, put in order and applied at once, and the timer is set for what still waits.
+    """
+
+    machine_schema: str
+
+    def apply(self, machine: tuple | None, events: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        """The machine after ``events``, and the rows to emit; ``machine`` is None before the first event."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", HELD_SCHEMA)
+        self.machine = handle.getValueState("machine", self.machine_schema)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-int(us) // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for chunk in rows:
+            if len(chunk):
+                self.held.appendList(list(zip(*(chunk[c].tolist() for c in HELD_COLUMNS), strict=True)))
+                first = int(chunk["us"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(self.held.get() if self.held.exists() else [], columns=HELD_COLUMNS)
+        due = held["us"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not due.any():
+            return
+        waiting = held[~due]
+        if len(waiting):
+            self.held.put(list(zip(*(waiting[c].tolist() for c in HELD_COLUMNS), strict=True)))
+            self._wake(waiting["us"].min())
+        else:
+            self.held.clear()
+        machine, out = self.apply(self.machine.get() if self.machine.exists() else None, held[due].sort_values(ORDER))
+        self.machine.update(machine)
+        out.insert(0, "user_id", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(events: DataFrame, lateness: str) -> DataFrame:
+    """Events with ``us`` and the watermark on ``_at``, of those with a user and a time."""
+    timed = events.filter("user_id is not null and ts is not null").withColumn("_at", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("_at", lateness).withColumn("us", micros(F.col("ts"))).select("user_id", "_at", *HELD_COLUMNS)
+
+
+def _run(events: DataFrame, lateness: str, processor: TimeOrdered, schema: str) -> DataFrame:
+    return _timed(events, lateness).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def opens_of(us: np.ndarray, kinds: np.ndarray, launched: bool, background: int | None, gap: int) -> tuple[np.ndarray, np.ndarray, bool, int | None]:
+    """Places of the activations among ordered events, whether each counts as an open, and the state after them.
+
+    An activation forgets the background event before it, except the very first, which leaves it to its successor.
+    """
+    active = np.flatnonzero(kinds == "active")
+    latest = np.maximum.accumulate(np.where(kinds == "background", np.arange(len(us)), -1))
+    # From which place on a background event counts for each activation; -1 reaches back into the state.
+    since = np.concatenate([[-1], active])
+    if not launched and len(since) > 1:
+        since[1] = -1
+    found, reach = latest[active], since[:-1]
+    opened = (found > reach) & (us[active] - us[found] >= gap)
+    if background is not None:
+        opened |= (reach < 0) & (found < 0) & (us[active] - background >= gap)
+    if not launched:
+        opened[:1] = True
+    if latest[-1] > since[-1]:
+        background = int(us[latest[-1]])
+    elif since[-1] >= 0:
+        background = None
+    return active, opened, launched or len(active) > 0, background
+
+
+def open_sessions(events: DataFrame, gap_seconds: int = fixed.OPEN_GAP_SECONDS, lateness: str = LATENESS) -> DataFrame:
+    """Activations and whether each counts as an app open, once the watermark (``lateness`` behind the latest event) has passed them.
+
+    ``events(user_id, event_id, ts, kind, meters, app_version)``; other columns are not carried.
+    """
+    gap = gap_seconds * 1_000_000
+
+    class Opens(TimeOrdered):
+        machine_schema = "launched boolean, background_us long"
+
+        def apply(self, machine: tuple | None, events: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+            launched, background = machine or (False, None)
+            us = events["us"].to_numpy()
+            at, opened, launched, background = opens_of(us, events["kind"].to_numpy(), launched, background, gap)
+            out = pd.DataFrame({"event_id": events["event_id"].to_numpy()[at], "us": us[at], "is_open": opened})
+            return (launched, background), out
+
+    return _run(events, lateness, Opens(), OPENS_SCHEMA)
 
 
 def prompt_machine(events: DataFrame, gap_days: float = fixed.PROMPT_GAP_DAYS,
-                   gap_seconds: int = fixed.OPEN_GAP_SECONDS) -> DataFrame:
-    """Prompts of every user, from opens, successes, versions and the prompt gap."""
+                   gap_seconds: int = fixed.OPEN_GAP_SECONDS, lateness: str = LATENESS) -> DataFrame:
+    """Prompts of every user, from opens, successes, versions and the prompt gap, once the watermark has passed them.
+
+    Events as for ``open_sessions``. The counters of a stretch are running sums; only from prompt to prompt is there a step in Python.
+    """
     open_gap, prompt_gap = gap_seconds * 1_000_000, int(gap_days * 86_400 * 1_000_000)
     need_opens, need_measured = fixed.REQUIRED_OPENS, fixed.REQUIRED_MEASUREMENTS
     min_metres = fixed.MIN_MEASUREMENT_M
 
-    class Prompts(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState(
-                "engagement", "launched boolean, background_us long, opens int, downloads int, "
-                "measurements int, version string, prompted_us long, number int, last_us long")
+    class Prompts(TimeOrdered):
+        machine_schema = ("launched boolean, background_us long, opens long, downloads long, measurements long, "
+                          "version string, prompted_us long, number int")
+
+        def apply(self, machine: tuple | None, events: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+            launched, background, opens, downloads, measured, version, prompted, number = (
+                machine or (False, None, 0, 0, 0, None, None, 0))
+            us, kinds = events["us"].to_numpy(), events["kind"].to_numpy()
+            at, opened, launched, background = opens_of(us, kinds, launched, background, open_gap)
+            steps = np.zeros(len(us), dtype=np.int64)
+            steps[at] = opened
+            download = kinds == "download_complete"
+            measurement = (kinds == "measurement") & (events["meters"].to_numpy(dtype=float) >= min_metres)
+            all_opens, all_downloads, all_measured = (
+                start + np.cumsum(x) for start, x in ((opens, steps), (downloads, download), (measured, measurement)))
+            engaged = (all_opens >= need_opens) & ((all_downloads >= 1) | (all_measured >= need_measured))
+            moments = np.flatnonzero((download | measurement) & engaged)
+            times, versions, ids = us[moments], events["app_version"].to_numpy(dtype=object)[moments], events["event_id"].to_numpy()[moments]
+            out, i = [], 0
+            while i < len(moments):
+                if prompted is not None:
+                    i = max(i, int(np.searchsorted(times, prompted + prompt_gap)))
+                    others = np.flatnonzero(versions[i:] != version)
+                    if not len(others):
+                        break
+                    i += int(others[0])
+                version, prompted, number = versions[i], int(times[i]), number + 1
+                out.append((int(ids[i]), prompted, version, number))
+                i += 1
+            machine = (launched, background, int(all_opens[-1]), int(all_downloads[-1]), int(all_measured[-1]), version, prompted, number)
+            return machine, pd.DataFrame(out, columns=["event_id", "us", "app_version", "number"])
+
+    return _run(events, lateness, Prompts(), PROMPTS_SCHEMA)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            (launched, background, opens, downloads, measured, version, prompted, number, last) = (
-                self.state.get() if self.state.exists() else (False, None, 0, 0, 0, None, None, 0, None))
-            batch = in_order(rows, ["us", "event_id"], last)
-            out = []
-            for row in batch.itertuples(index=False):
-                now = int(row.us)
-                if row.kind == "background":
-                    background = now
-                elif row.kind == "active" and not launched:
-                    launched, opens = True, opens + 1
-                elif row.kind == "active":
-                    opens += int(background is not None and now - background >= open_gap)
-                    background = None
-                success = row.kind == "download_complete" or (row.kind == "measurement" and row.meters >= min_metres)
-                downloads += int(row.kind == "download_complete")
-                measured += int(success and row.kind == "measurement")
-                engaged = opens >= need_opens and (downloads >= 1 or measured >= need_measured)
-                free = version != row.app_version and (prompted is None or now - prompted >= prompt_gap)
-                if success and engaged and free:
-                    version, prompted, number = row.app_version, now, number + 1
-                    out.append((key[0], row.event_id, now, version, number))
-            self.state.update((launched, background, opens, downloads, measured, version, prompted, number, int(batch["us"].iloc[-1])))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "app_version", "number"])
 
-        def close(self) -> None:
-            pass
-
-    return _prepared(events).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Prompts(), outputStructType=PROMPTS_SCHEMA, outputMode="Append", timeMode="None")
+def in_order(rows: Iterator[pd.DataFrame], order: list[str], last: int | None) -> pd.DataFrame:
+    """A key's rows of one batch by ``order``; an error if they begin before ``last``, where the batch before ended."""
+    batch = pd.concat(list(rows)).sort_values(order)
+    if last is not None and len(batch) and batch[order[0]].iloc[0] < last:
+        raise ValueError(f"rows out of order: {order[0]} {batch[order[0]].iloc[0]} after {last}; give the stream older files first")
+    return batch
 
 
 def stroke_logs(log: DataFrame) -> DataFrame:
