@@ -149,8 +149,21 @@ _OP13 = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_s
     WHERE c.longer IS NULL OR 100 * c.longer < 100 * s.a)
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
   FROM kept QUALIFY rank <= 2000"""
+_OP9 = """WITH own AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+  theirs AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+  windows AS MATERIALIZED (SELECT DISTINCT item, k, ws[i:i + k - 1] AS w FROM (
+    SELECT item, ws, least(len(ws), 10) AS k, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM theirs WHERE len(ws) > 0)),
+  hits AS MATERIALIZED (SELECT r, i, k, item FROM (SELECT r, k, i, ws[i:i + k - 1] AS w FROM (
+    SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM own, (SELECT DISTINCT k FROM windows))) JOIN windows USING (k, w)),
+  covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r),
+  named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM own LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
 #: Seeded hashes, floating-point training, clustering, tokenizers and bin packing have no SQL form in the oracle's dialect.
-ORACLES: dict[str, str] = {"op13_collocations": _OP13}
+ORACLES: dict[str, str] = {"op9_benchmark_overlap": _OP9, "op13_collocations": _OP13}
 
 
 def queries() -> dict[str, Plan]:
